@@ -167,3 +167,211 @@ _PIPELINE_SQL = _sql_articles(", ".join([
 @register("feature_pipeline", _PIPELINE_SQL)
 def feature_pipeline(spark, sf_dir):
     return extract_features(_articles(spark, sf_dir), keywords=X.PROBE_KEYWORDS)
+
+
+# ----------------------------------------------------------------------------
+# Stage / run analytics (A1-A21) over `stage_runs` and `runs`
+# ----------------------------------------------------------------------------
+
+from tessera.functions.metrics import throughput  # noqa: E402
+from tessera.operators import scaling as SC  # noqa: E402
+from tessera.operators import stages as ST  # noqa: E402
+from tessera.operators.rowwise import with_wide_totals  # noqa: E402
+
+# Widest run of the sf0.01 data: the oracle SQL spells out this many stage
+# slots; the Spark side takes the width from the data.
+ORACLE_MAX_STAGES = 13
+
+_T = "stage_duration_ms / 1000.0"
+_THR = f"CASE WHEN {_T} > 0 THEN records_read / ({_T}) ELSE 0.0 END"
+_SQL_METRIC = {
+    "time": _T, "throughput": _THR, "executorRunTime": "executor_run_time",
+    "executorCpuTime": "executor_cpu_time", "jvmGCTime": "jvm_gc_time",
+    "recordsRead": "records_read", "bytesRead": "bytes_read",
+}
+_SQL_TOTALS = f"""
+SELECT run_id, coalesce(sum({_T}), 0.0) AS total_stage_time, avg({_THR}) AS average_stage_throughput,
+       coalesce(sum(executor_run_time), 0.0) AS Total_Executor_Run_Time,
+       coalesce(sum(executor_cpu_time), 0.0) AS Total_Executor_CPU_Time,
+       coalesce(sum(jvm_gc_time), 0.0) AS Total_JVM_GC_Time
+FROM stage_runs GROUP BY run_id"""
+_SQL_SUMMARY = f"""
+summary AS (
+SELECT r.run_id, r.scaling_type, r.num_workers, r.cores_per_worker, r.dataset_scale,
+       r.e2e_time AS E2E_time,
+       CASE WHEN r.e2e_time > 0 THEN r.num_rows / r.e2e_time ELSE 0.0 END AS E2E_throughput,
+       coalesce(t.total_stage_time, 0.0) AS total_stage_time, t.average_stage_throughput,
+       coalesce(t.Total_Executor_Run_Time, 0.0) AS Total_Executor_Run_Time,
+       coalesce(t.Total_Executor_CPU_Time, 0.0) AS Total_Executor_CPU_Time,
+       coalesce(t.Total_JVM_GC_Time, 0.0) AS Total_JVM_GC_Time,
+       r.num_workers * r.cores_per_worker AS total_cores,
+       CASE WHEN coalesce(t.Total_Executor_Run_Time, 0.0) = 0 THEN NULL
+            ELSE t.Total_Executor_CPU_Time / t.Total_Executor_Run_Time * 100 END AS CPU_Efficiency
+FROM runs r LEFT JOIN ({_SQL_TOTALS}) t USING (run_id))"""
+_ROUNDED = ["total_stage_time", "average_stage_throughput", "Total_Executor_Run_Time",
+            "Total_Executor_CPU_Time", "Total_JVM_GC_Time", "CPU_Efficiency"]
+
+
+def _r6(df: DataFrame, cols) -> DataFrame:
+    """Round float sums to 6 decimals (summation order differs between engines)."""
+    return df.withColumns({c: F.round(F.col(c), 6) for c in cols if c in df.columns})
+
+
+def _sql_r6(cols, rounded=_ROUNDED) -> str:
+    return ", ".join(f"round({c}, 6) AS {c}" if c in rounded else c for c in cols)
+
+
+def _summary(spark, sf_dir) -> DataFrame:
+    return SC.scaling_summary(X.runs(spark, sf_dir), X.stage_runs(spark, sf_dir))
+
+
+def _summary_sql(select: str, tail: str = "") -> str:
+    base = X.with_views("SELECT 1", "runs", "stage_runs").replace("\nSELECT 1", "")
+    return f"{base},{_SQL_SUMMARY}\nSELECT {select} FROM summary {tail}"
+
+
+@register("run_totals", X.with_views(
+    "SELECT run_id, CAST(count(*) AS BIGINT) AS num_stages, "
+    "CAST(sum(coalesce(num_tasks, 0)) AS BIGINT) AS num_tasks FROM stage_runs GROUP BY run_id", "stage_runs"))
+def q_run_totals(spark, sf_dir):
+    return ST.run_totals(X.stage_runs(spark, sf_dir))
+
+
+@register("stage_throughput", X.with_views(
+    f"SELECT run_id, job_id, stage_id, tie, {_T} AS stage_time_s, {_THR} AS stage_throughput "
+    "FROM stage_runs", "stage_runs"))
+def q_stage_throughput(spark, sf_dir):
+    return ST.stage_metrics(X.stage_runs(spark, sf_dir)).select(
+        "run_id", "job_id", "stage_id", "tie", "stage_time_s", "stage_throughput")
+
+
+@register("stage_index", X.with_views(
+    "SELECT run_id, job_id, stage_id, tie, CAST(row_number() OVER "
+    "(PARTITION BY run_id ORDER BY job_id, stage_id, tie) - 1 AS INT) AS stage_idx FROM stage_runs",
+    "stage_runs"))
+def q_stage_index(spark, sf_dir):
+    return ST.stage_index(X.stage_runs(spark, sf_dir)).select(
+        "run_id", "job_id", "stage_id", "tie", "stage_idx")
+
+
+def _pivot_sql(n: int) -> str:
+    slots = ",\n       ".join(
+        f"max(CASE WHEN idx = {i} THEN {_SQL_METRIC[m]} END) AS stage{i}_{m}"
+        for i in range(n) for m in ST.STAGE_METRICS)
+    return X.with_views(
+        "SELECT run_id, CAST(count(*) AS BIGINT) AS num_stages, "
+        "CAST(sum(coalesce(num_tasks, 0)) AS BIGINT) AS num_tasks,\n       " + slots +
+        "\nFROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY job_id, stage_id, tie) - 1 AS idx "
+        "FROM stage_runs) GROUP BY run_id", "stage_runs")
+
+
+@register("pivot_stages", _pivot_sql(ORACLE_MAX_STAGES))
+def q_pivot_stages(spark, sf_dir):
+    return ST.pivot_stages(X.stage_runs(spark, sf_dir))
+
+
+@register("wide_row_sums", X.with_views(
+    "SELECT run_id, round(total_stage_time, 6) AS total_stage_time, "
+    "round(Total_Executor_Run_Time, 6) AS Total_Executor_Run_Time, "
+    "round(Total_Executor_CPU_Time, 6) AS Total_Executor_CPU_Time, "
+    f"round(Total_JVM_GC_Time, 6) AS Total_JVM_GC_Time FROM ({_SQL_TOTALS})", "stage_runs"))
+def q_wide_row_sums(spark, sf_dir):
+    wide = with_wide_totals(ST.pivot_stages(X.stage_runs(spark, sf_dir)))
+    return _r6(wide.select("run_id", "total_stage_time", "Total_Executor_Run_Time",
+                           "Total_Executor_CPU_Time", "Total_JVM_GC_Time"), _ROUNDED)
+
+
+@register("wide_row_mean", X.with_views(
+    f"SELECT run_id, round(average_stage_throughput, 6) AS average_stage_throughput FROM ({_SQL_TOTALS})",
+    "stage_runs"))
+def q_wide_row_mean(spark, sf_dir):
+    wide = with_wide_totals(ST.pivot_stages(X.stage_runs(spark, sf_dir)))
+    return _r6(wide.select("run_id", "average_stage_throughput"), _ROUNDED)
+
+
+_LABELS_SQL = ("CAST(num_workers AS VARCHAR) || 'W-' || CAST(cores_per_worker AS VARCHAR) || 'C' AS config_name, "
+               "CASE WHEN scaling_type = 'Worker_Sweep' "
+               "THEN CAST(num_workers AS VARCHAR) || 'W' || chr(10) || CAST(cores_per_worker AS VARCHAR) || 'C' "
+               "ELSE CAST(num_workers * cores_per_worker AS VARCHAR) || chr(10) || '(scale=' "
+               "|| CAST(dataset_scale AS VARCHAR) || ')' END AS x_label")
+
+
+@register("config_label", X.with_views(
+    f"SELECT run_id, {_LABELS_SQL}, num_workers * cores_per_worker AS total_cores FROM runs", "runs"))
+def q_config_label(spark, sf_dir):
+    return SC.with_labels(X.runs(spark, sf_dir)).select("run_id", "config_name", "x_label", "total_cores")
+
+
+@register("total_product", X.with_views(
+    "SELECT run_id, num_workers, cores_per_worker, num_workers * cores_per_worker AS total_cores FROM runs",
+    "runs"))
+def q_total_product(spark, sf_dir):
+    from tessera.functions.metrics import total_cores
+    return X.runs(spark, sf_dir).select("run_id", "num_workers", "cores_per_worker",
+                                        total_cores().alias("total_cores"))
+
+
+@register("speedup_vs_baseline", X.with_views("""
+SELECT run_id, scaling_type, total_cores, E2E_throughput,
+       CASE WHEN first_value(E2E_throughput) OVER w = 0 THEN NULL
+            ELSE E2E_throughput / first_value(E2E_throughput) OVER w END AS speedup
+FROM (SELECT run_id, scaling_type, num_workers * cores_per_worker AS total_cores,
+             CASE WHEN e2e_time > 0 THEN num_rows / e2e_time ELSE 0.0 END AS E2E_throughput FROM runs)
+WINDOW w AS (PARTITION BY scaling_type ORDER BY total_cores, run_id
+             ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)""", "runs"))
+def q_speedup(spark, sf_dir):
+    from tessera.functions.metrics import total_cores
+    r = X.runs(spark, sf_dir).select(
+        "run_id", "scaling_type", total_cores().alias("total_cores"),
+        throughput("num_rows", "e2e_time").alias("E2E_throughput"))
+    return SC.speedup(r, ["scaling_type"], ["total_cores", "run_id"], "E2E_throughput").select(
+        "run_id", "scaling_type", "total_cores", "E2E_throughput", "speedup")
+
+
+_SUMMARY_COLS = ["run_id", "scaling_type", "num_workers", "cores_per_worker", "dataset_scale", "E2E_time",
+                 "E2E_throughput", "total_stage_time", "average_stage_throughput", "Total_Executor_Run_Time",
+                 "Total_Executor_CPU_Time", "Total_JVM_GC_Time", "total_cores", "CPU_Efficiency"]
+
+
+@register("scaling_summary", _summary_sql(_sql_r6(_SUMMARY_COLS)))
+def q_scaling_summary(spark, sf_dir):
+    return _r6(SC.sorted_report(_summary(spark, sf_dir), ["scaling_type", "total_cores"], ["run_id"]),
+               _ROUNDED)
+
+
+@register("top_runs", _summary_sql(_sql_r6(_SUMMARY_COLS), "ORDER BY scaling_type, total_cores, run_id LIMIT 10"))
+def q_top_runs(spark, sf_dir):
+    return _r6(SC.top_n(_summary(spark, sf_dir), ["scaling_type", "total_cores", "run_id"], 10), _ROUNDED)
+
+
+@register("cpu_efficiency", _summary_sql(
+    _sql_r6(["run_id", "total_cores", "Total_Executor_Run_Time", "Total_Executor_CPU_Time", "CPU_Efficiency"]),
+    "WHERE scaling_type = 'Strong_Scaling'"))
+def q_cpu_efficiency(spark, sf_dir):
+    return _r6(SC.executor_times(_summary(spark, sf_dir)), _ROUNDED)
+
+
+@register("compare_scaling", _summary_sql(
+    "run_id, scaling_type, " + _LABELS_SQL.split(", CASE")[0] + ", total_cores, dataset_scale, "
+    "CAST(total_cores AS VARCHAR) || chr(10) || '(scale=' || CAST(dataset_scale AS VARCHAR) || ')' AS x_label, "
+    "round(average_stage_throughput, 6) AS average_stage_throughput",
+    "WHERE scaling_type IN ('Strong_Scaling', 'Weak_Scaling')"))
+def q_compare_scaling(spark, sf_dir):
+    return _r6(SC.compare_scaling(_summary(spark, sf_dir)), _ROUNDED)
+
+
+@register("worker_sweep", _summary_sql(
+    "run_id, " + _LABELS_SQL.split(", CASE")[0] + ", "
+    "CAST(num_workers AS VARCHAR) || 'W' || chr(10) || CAST(cores_per_worker AS VARCHAR) || 'C' AS x_label, "
+    "num_workers, cores_per_worker, total_cores, E2E_time, E2E_throughput",
+    "WHERE scaling_type = 'Worker_Sweep'"))
+def q_worker_sweep(spark, sf_dir):
+    return SC.sorted_report(SC.worker_sweep(_summary(spark, sf_dir)), ["num_workers"], ["run_id"])
+
+
+@register("gc_by_config", _summary_sql(
+    "run_id, " + _LABELS_SQL.split(", CASE")[0] + ", num_workers, cores_per_worker, total_cores, E2E_time, "
+    "round(Total_JVM_GC_Time, 6) AS Total_JVM_GC_Time",
+    "WHERE scaling_type = 'Worker_Sweep'"))
+def q_gc_by_config(spark, sf_dir):
+    return _r6(SC.gc_by_config(_summary(spark, sf_dir)), _ROUNDED)
