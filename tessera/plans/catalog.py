@@ -375,3 +375,216 @@ def q_worker_sweep(spark, sf_dir):
     "WHERE scaling_type = 'Worker_Sweep'"))
 def q_gc_by_config(spark, sf_dir):
     return _r6(SC.gc_by_config(_summary(spark, sf_dir)), _ROUNDED)
+
+
+# ----------------------------------------------------------------------------
+# Shaping (S3, S5-S7), sources and sinks (S1, S2, S4, S10, S11)
+# ----------------------------------------------------------------------------
+
+from pyspark.sql import types as Ty  # noqa: E402
+
+from tessera.operators import shaping as SH  # noqa: E402
+from tessera.session import shared_path  # noqa: E402
+from tessera.sources import csv as CSV  # noqa: E402
+
+ARTICLE_SCHEMA = Ty.StructType([
+    Ty.StructField("src", Ty.StringType()), Ty.StructField("id", Ty.LongType()),
+    Ty.StructField("title", Ty.StringType()), Ty.StructField("text", Ty.StringType()),
+])
+TAKE_SCALE = 0.0625
+
+
+@register("union_ragged", X.with_views("""
+SELECT run_id, scaling_type, num_workers, CAST(NULL AS BIGINT) AS num_stages, CAST(NULL AS BIGINT) AS num_tasks
+FROM runs
+UNION ALL
+SELECT run_id, NULL, NULL, CAST(count(*) AS BIGINT), CAST(sum(coalesce(num_tasks, 0)) AS BIGINT)
+FROM stage_runs GROUP BY run_id""", "runs", "stage_runs"))
+def q_union_ragged(spark, sf_dir):
+    header = X.runs(spark, sf_dir).select("run_id", "scaling_type", "num_workers")
+    totals = ST.run_totals(X.stage_runs(spark, sf_dir))
+    return SH.union_ragged([header, totals])
+
+
+@register("replicate", X.with_views(
+    "SELECT * FROM articles UNION ALL SELECT * FROM articles UNION ALL SELECT * FROM articles", "articles"))
+def q_replicate(spark, sf_dir):
+    return SH.replicate(_articles(spark, sf_dir), 3)
+
+
+@register("count_rows", X.with_views("SELECT CAST(count(*) AS BIGINT) AS num_rows FROM articles", "articles"))
+def q_count_rows(spark, sf_dir):
+    return SH.count_rows(_articles(spark, sf_dir))
+
+
+@register("take_fraction", X.with_views(f"""
+SELECT src, id, title, text FROM (
+  SELECT *, row_number() OVER (ORDER BY src, id) AS rn, count(*) OVER () AS total FROM articles)
+WHERE rn <= CAST(floor(total * {TAKE_SCALE}) AS BIGINT)""", "articles"))
+def q_take_fraction(spark, sf_dir):
+    return SH.take_fraction(_articles(spark, sf_dir), TAKE_SCALE, KEY)
+
+
+@register("scan_articles", X.with_views("SELECT src, id, title, text FROM articles", "articles"))
+def q_scan_articles(spark, sf_dir):
+    """Articles written as RFC-4180 CSV by Spark, read back with the CSV scan."""
+    path = shared_path(spark, "articles-csv")
+    CSV.write_csv(_articles(spark, sf_dir), path)
+    return CSV.read_articles(spark, path, schema=ARTICLE_SCHEMA, strict=True)
+
+
+@register("with_source", X.with_views(
+    "SELECT src, id, title, src || '-files' AS folder FROM articles", "articles"))
+def q_with_source(spark, sf_dir):
+    """Provenance: each source's rows written to its own folder, read back in
+    one scan; the folder name comes from the file path of every row."""
+    root = shared_path(spark, "articles-by-source")
+    arts = _articles(spark, sf_dir)
+    for src in ("doc", "page"):
+        CSV.write_csv(arts.filter(F.col("src") == src), f"{root}/{src}-files")
+    read = CSV.read_with_source(spark, [f"{root}/doc-files", f"{root}/page-files"], ARTICLE_SCHEMA,
+                                options={"header": "true", "multiLine": "true", "escape": '"'})
+    return read.select("src", "id", "title",
+                       F.regexp_extract("log_dir", r"([^/]*)$", 1).alias("folder"))
+
+
+# Run files written per scaling group with different column sets (ragged).
+_RUN_FILE_LAYOUTS = [
+    ("SS-runs", SC.STRONG, ["run_id", "num_workers", "cores_per_worker", "dataset_scale", "num_rows", "e2e_time"]),
+    ("WS-runs", SC.WEAK, ["run_id", "num_workers", "cores_per_worker", "dataset_scale", "num_rows"]),
+    ("W-runs", SC.SWEEP, ["run_id", "num_workers", "cores_per_worker", "e2e_time"]),
+]
+
+
+@register("classify_runs", X.with_views("""
+SELECT run_id, scaling_type, num_workers, cores_per_worker,
+       CASE WHEN scaling_type <> 'Worker_Sweep' THEN dataset_scale END AS dataset_scale,
+       CASE WHEN scaling_type <> 'Worker_Sweep' THEN num_rows END AS num_rows,
+       CASE WHEN scaling_type <> 'Weak_Scaling' THEN e2e_time END AS e2e_time,
+       CASE scaling_type WHEN 'Strong_Scaling' THEN 'SS-runs' WHEN 'Weak_Scaling' THEN 'WS-runs'
+            ELSE 'W-runs' END AS log_name
+FROM runs""", "runs"))
+def q_classify_runs(spark, sf_dir):
+    """Run records written as ragged CSV files per group folder, then read
+    back by header layout, unioned by name and classified by folder prefix."""
+    root = shared_path(spark, "run-files")
+    r = X.runs(spark, sf_dir)
+    for folder, label, cols in _RUN_FILE_LAYOUTS:
+        CSV.write_runs(r.filter(F.col("scaling_type") == label).select(*cols), f"{root}/{folder}", order=cols)
+    back = CSV.read_runs(spark, f"{root}/*/*.csv", first_field="run_id", classify_by="dir")
+    return back.select("run_id", "scaling_type", "num_workers", "cores_per_worker", "dataset_scale",
+                       "num_rows", "e2e_time",
+                       F.regexp_extract("log_dir", r"([^/]*)$", 1).alias("log_name"))
+
+
+@register("summary_export", _summary_sql(_sql_r6(_SUMMARY_COLS)))
+def q_summary_export(spark, sf_dir):
+    """Processed summary exported as sorted CSV and read back."""
+    path = shared_path(spark, "summary-csv")
+    CSV.export_summary(_summary(spark, sf_dir), path, tie=["run_id"])
+    schema = ", ".join(
+        f"{c} {t}" for c, t in [
+            ("run_id", "bigint"), ("scaling_type", "string"), ("num_workers", "int"),
+            ("cores_per_worker", "int"), ("dataset_scale", "double"), ("E2E_time", "double"),
+            ("E2E_throughput", "double"), ("total_stage_time", "double"),
+            ("average_stage_throughput", "double"), ("Total_Executor_Run_Time", "double"),
+            ("Total_Executor_CPU_Time", "double"), ("Total_JVM_GC_Time", "double"),
+            ("total_cores", "int"), ("CPU_Efficiency", "double")])
+    return _r6(CSV.read_articles(spark, path, schema=schema, strict=True), _ROUNDED)
+
+
+# ----------------------------------------------------------------------------
+# Validation (V1-V4) over `events`, measurement (M1), streaming
+# ----------------------------------------------------------------------------
+
+from tessera.operators import validation as V  # noqa: E402
+from tessera.operators.measure import measure  # noqa: E402
+
+_PROPS = Ty.StructType([Ty.StructField("k", Ty.LongType())])
+_SQL_K = "TRY_CAST(json_extract_string(props, '$.k') AS BIGINT)"
+
+
+def _events_with_k(spark, sf_dir) -> DataFrame:
+    from tessera.sources.tables import load_table
+    ev = V.parse_json(load_table(spark, sf_dir, "events"), "props", _PROPS, "doc")
+    return ev.withColumn("k", F.col("doc.k"))
+
+
+@register("validate_records", f"""
+SELECT event_id, {_SQL_K} AS k, NOT coalesce(json_valid(props), true) AS malformed,
+       CASE WHEN {_SQL_K} IS NULL THEN 'k' END AS missing_field
+FROM events""")
+def q_validate_records(spark, sf_dir):
+    ev = V.require_fields(_events_with_k(spark, sf_dir), ["k"])
+    return ev.select("event_id", "k", F.col("doc_malformed").alias("malformed"), "missing_field")
+
+
+@register("validate_ranges", f"""
+SELECT event_id, failed_rule IS NULL AS valid, failed_rule FROM (
+  SELECT event_id, CASE WHEN NOT coalesce({_SQL_K} >= 1, false) THEN 'k>=1'
+                        WHEN NOT coalesce(value BETWEEN 0 AND 50, false) THEN '0<=value<=50' END AS failed_rule
+  FROM events)""")
+def q_validate_ranges(spark, sf_dir):
+    rules = {"k>=1": F.col("k") >= 1, "0<=value<=50": F.col("value").between(0, 50)}
+    return V.check_ranges(_events_with_k(spark, sf_dir), rules).select("event_id", "valid", "failed_rule")
+
+
+@register("fill_defaults", """
+SELECT event_id, coalesce(CASE WHEN event_type = 'error' THEN NULL ELSE event_type END, '') AS remark,
+       '' AS benchmark_name, 'logs/' || event_type AS log_dir
+FROM events""")
+def q_fill_defaults(spark, sf_dir):
+    from tessera.sources.tables import load_table
+    ev = load_table(spark, sf_dir, "events").select(
+        "event_id",
+        F.when(F.col("event_type") == "error", F.lit(None).cast("string")).otherwise(F.col("event_type")).alias("remark"),
+        F.concat(F.lit("logs/"), F.col("event_type")).alias("log_dir"))
+    return V.with_defaults(ev, V.RUN_CONFIG_DEFAULTS).select("event_id", "remark", "benchmark_name", "log_dir")
+
+
+@register("validate_configs", f"""
+SELECT event_id,
+  CASE WHEN event_type = 'view' THEN 'missing field: log_dir'
+       WHEN NOT (user_id >= 1) THEN 'out of range: num_workers>=1'
+       WHEN NOT coalesce(k >= 1, false) THEN 'out of range: mem_per_worker>=1'
+       WHEN NOT (length(event_type) >= 1) THEN 'out of range: cores_per_worker>=1'
+       WHEN NOT (value / 100.0 BETWEEN 0 AND 1) THEN 'out of range: 0<=dataset_scale<=1'
+  END AS reason,
+  '' AS remark
+FROM (SELECT *, {_SQL_K} AS k FROM events)""")
+def q_validate_configs(spark, sf_dir):
+    """Run requests as JSON documents (built from events), checked end to end:
+    parse, required fields, ranges, defaults."""
+    ev = _events_with_k(spark, sf_dir)
+    cfg = F.to_json(F.struct(
+        F.col("event_type").alias("name"), F.col("user_id").alias("num_workers"),
+        F.col("k").alias("mem_per_worker"), F.length("event_type").cast("bigint").alias("cores_per_worker"),
+        (F.col("value") / 100.0).alias("dataset_scale"),
+        F.when(F.col("event_type") != "view", F.concat(F.lit("logs/"), F.col("event_type"))).alias("log_dir")))
+    checked = V.validate_configs(ev.select("event_id", cfg.alias("config")), "config")
+    return checked.select("event_id", "reason", F.col("cfg.remark").alias("remark"))
+
+
+@register("measured_run", None)
+def q_measured_run(spark, sf_dir):
+    """One measured run of the full feature pipeline (time varies: rows-only)."""
+    return measure(extract_features(_articles(spark, sf_dir), keywords=X.PROBE_KEYWORDS))
+
+
+@register("streaming_features", _PIPELINE_SQL)
+def q_streaming_features(spark, sf_dir):
+    """The feature pipeline as a Structured Streaming job (file source ->
+    file sink with checkpoint, availableNow trigger), read back."""
+    from tessera.sources.tables import load_table
+    from tessera.streaming.features import read_stream, start_feature_stream
+
+    docs_schema = load_table(spark, sf_dir, "documents").schema
+    pages_schema = load_table(spark, sf_dir, "pages").schema
+    stream = X.articles_from(read_stream(spark, sf_dir, docs_schema, glob="documents.parquet"),
+                             read_stream(spark, sf_dir, pages_schema, glob="pages.parquet"))
+    sink, ckpt = shared_path(spark, "stream-sink"), shared_path(spark, "stream-ckpt")
+    q = start_feature_stream(stream, sink, ckpt, keywords=X.PROBE_KEYWORDS)
+    q.awaitTermination()
+    if q.exception():
+        raise RuntimeError(str(q.exception()))
+    return spark.read.parquet(sink)

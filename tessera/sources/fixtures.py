@@ -23,8 +23,9 @@ SCALING_TYPES = ["Strong_Scaling", "Weak_Scaling", "Worker_Sweep"]
 # ---------------------------------------------------------------------------
 
 
-def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = load_table(spark, sf_dir, "documents").select(
+def articles_from(documents: DataFrame, pages: DataFrame) -> DataFrame:
+    """The articles view over given (batch or streaming) documents and pages frames."""
+    docs = documents.select(
         F.lit("doc").alias("src"),
         F.col("doc_id").alias("id"),
         F.when(F.col("doc_id") % 17 == 0, F.lit(None).cast("string"))
@@ -32,13 +33,17 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("doc_id") % 23 == 0, F.lit(None).cast("string"))
          .otherwise(F.col("text")).alias("text"),
     )
-    pages = load_table(spark, sf_dir, "pages").select(
+    pgs = pages.select(
         F.lit("page").alias("src"),
         F.col("page_id").alias("id"),
         F.regexp_extract(F.col("html"), r"<title>(.*?)</title>", 1).alias("title"),
         F.concat(F.col("url"), F.lit(" "), F.col("html")).alias("text"),
     )
-    return docs.unionByName(pages)
+    return docs.unionByName(pgs)
+
+
+def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return articles_from(load_table(spark, sf_dir, "documents"), load_table(spark, sf_dir, "pages"))
 
 
 ARTICLES_SQL = """
