@@ -93,3 +93,20 @@ def take_fraction(df: DataFrame, scale: float, key: Sequence[str],
     lit_key = F.struct(*[F.lit(cutoff[i]).cast(df.schema[c].dataType).alias(c)
                          for i, c in enumerate(key)])
     return df.filter(_sort_key(key) <= lit_key)
+
+
+def spread(df: DataFrame, key: Sequence[str] | None = None, min_partitions: int | None = None) -> DataFrame:
+    """Spread a CPU-heavy row-wise plan over all task slots.
+
+    Only when the input has fewer partitions than ``min_partitions``
+    (default: twice the default parallelism) — e.g. one large file with a
+    single row group — the rows are hash-partitioned by ``key`` (or
+    round-robin without a key). A big input already split into many
+    partitions is returned unchanged, so no shuffle is added at scale.
+    Hash partitioning on a unique key is deterministic, so a re-computed
+    partition after an executor loss holds the same rows.
+    """
+    target = min_partitions or 2 * df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target, *[F.col(c) for c in key]) if key else df.repartition(target)
