@@ -445,7 +445,7 @@ def q_with_source(spark, sf_dir):
     read = CSV.read_with_source(spark, [f"{root}/doc-files", f"{root}/page-files"], ARTICLE_SCHEMA,
                                 options={"header": "true", "multiLine": "true", "escape": '"'})
     return read.select("src", "id", "title",
-                       F.regexp_extract("log_dir", r"([^/]*)$", 1).alias("folder"))
+                       CSV.base_name(F.col("log_dir")).alias("folder"))
 
 
 # Run files written per scaling group with different column sets (ragged).
@@ -474,7 +474,7 @@ def q_classify_runs(spark, sf_dir):
     back = CSV.read_runs(spark, f"{root}/*/*.csv", first_field="run_id", classify_by="dir")
     return back.select("run_id", "scaling_type", "num_workers", "cores_per_worker", "dataset_scale",
                        "num_rows", "e2e_time",
-                       F.regexp_extract("log_dir", r"([^/]*)$", 1).alias("log_name"))
+                       CSV.base_name(F.col("log_dir")).alias("log_name"))
 
 
 @register("summary_export", _summary_sql(_sql_r6(_SUMMARY_COLS)))
