@@ -29,7 +29,9 @@ def read_articles(spark: SparkSession, path: str | Sequence[str],
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """RFC-4180 CSV with header (quotes doubled), written by the executors.
-    Leading/trailing blanks of values are kept (Spark trims them by default)."""
+    Leading/trailing blanks of values are kept (Spark trims them by default).
+    As in any CSV read with Spark's default ``nullValue`` (""), an empty
+    string reads back as NULL."""
     (df.write.mode(mode).option("header", True).option("escape", '"')
        .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
        .csv(path))
