@@ -37,13 +37,39 @@ def run_totals(stages: DataFrame, run: str = "run_id", tasks: str = "num_tasks")
 
 
 def stage_index(stages: DataFrame, run: str = "run_id",
-                order: Sequence[str] = DEFAULT_ORDER, name: str = "stage_idx") -> DataFrame:
+                order: Sequence[str] = DEFAULT_ORDER, name: str = "stage_idx",
+                skew_safe: bool = False, partitions: int | None = None) -> DataFrame:
     """Zero-based stage position within its run, in (job, stage, tie) order.
 
     The order keys must make rows unique within a run for a deterministic index.
+
+    ``skew_safe=False``: one window partitioned by run (one hash exchange);
+    every run is ranked inside one task, which is right when runs are
+    bounded (a run record holds at most ``max_stages`` stages).
+
+    ``skew_safe=True``: no task ever holds a whole run. Rows are
+    range-partitioned on the full key (run, order...), which splits a hot
+    run over consecutive partitions; rows are ranked within (partition,
+    run), and each (partition, run) segment gets the row count of the same
+    run in earlier partitions as offset. The offsets come from a partial
+    aggregate (one row per segment) and a running sum per run over at most
+    one row per partition. Range bounds are sampled deterministically, so
+    a recomputed partition after an executor loss gets the same id.
     """
-    w = Window.partitionBy(run).orderBy(*[F.col(c) for c in order])
-    return stages.withColumn(name, (F.row_number().over(w) - 1).cast("int"))
+    if not skew_safe:
+        w = Window.partitionBy(run).orderBy(*[F.col(c) for c in order])
+        return stages.withColumn(name, (F.row_number().over(w) - 1).cast("int"))
+    n = partitions or int(stages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = [run, *order]
+    ranged = stages.repartitionByRange(n, *[F.col(c) for c in keys]).withColumn("__pid", F.spark_partition_id())
+    before = Window.partitionBy(run).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (ranged.groupBy("__pid", run).agg(F.count(F.lit(1)).alias("__n"))
+                     .withColumn("__off", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+                     .select("__pid", run, "__off"))
+    local = Window.partitionBy("__pid", run).orderBy(*[F.col(c) for c in order])
+    return (ranged.join(offsets, ["__pid", run])
+                  .withColumn(name, (F.col("__off") + F.row_number().over(local) - 1).cast("int"))
+                  .drop("__pid", "__off"))
 
 
 def stage_metrics(stages: DataFrame) -> DataFrame:

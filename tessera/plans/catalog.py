@@ -250,7 +250,7 @@ def q_stage_throughput(spark, sf_dir):
     "(PARTITION BY run_id ORDER BY job_id, stage_id, tie) - 1 AS INT) AS stage_idx FROM stage_runs",
     "stage_runs"))
 def q_stage_index(spark, sf_dir):
-    return ST.stage_index(X.stage_runs(spark, sf_dir)).select(
+    return ST.stage_index(X.stage_runs(spark, sf_dir), skew_safe=True).select(
         "run_id", "job_id", "stage_id", "tie", "stage_idx")
 
 

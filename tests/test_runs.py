@@ -134,3 +134,18 @@ def test_golden_summary_from_ragged_run_files(spark, tmp_dir):
         for c, e in zip(cols, expected):
             assert math.isclose(rows[w][c], e, rel_tol=1e-12), (w, c, rows[w][c], e)
     assert rows[1]["stage1_time"] if "stage1_time" in summary.columns else True
+
+
+def test_skew_safe_stage_index_equals_window(spark):
+    from tessera.sources.fixtures import stage_runs
+    from conftest import SF01
+
+    s = stage_runs(spark, SF01)
+    # one hot run holding a third of all rows
+    hot = s.withColumn("run_id", F.when(F.col("run_id") % 3 == 0, F.lit(-1)).otherwise(F.col("run_id")))
+    a = ST.stage_index(hot).select("run_id", "job_id", "stage_id", "tie", "stage_idx")
+    b = ST.stage_index(hot, skew_safe=True, partitions=7).select("run_id", "job_id", "stage_id", "tie", "stage_idx")
+    assert a.count() == b.count()
+    assert a.exceptAll(b).count() == 0
+    plan = b._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" in plan
