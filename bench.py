@@ -26,29 +26,35 @@ from tessera.operators import stages as ST  # noqa: E402
 from tessera.plans.catalog import QUERIES  # noqa: E402
 from tessera.plans.features import extract_features, write_features  # noqa: E402
 from tessera.session import build_session  # noqa: E402
+from tessera.sources import csv as CSV  # noqa: E402
 from tessera.sources import fixtures as X  # noqa: E402
-
-
-def timed(fn) -> float:
-    t = time.perf_counter()
-    fn()
-    return time.perf_counter() - t
+from tessera.sources.eventlog import event_log_conf, stage_metrics_from_event_log  # noqa: E402
 
 
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     sf = sf_dir.rstrip("/").rsplit("sf", 1)[-1]
-    extra = {"spark.driver.memory": os.environ.get("BENCH_DRIVER_MEMORY", "16g")}
+    out_root = tempfile.mkdtemp(prefix="tessera-bench-")
+    event_dir = os.path.join(out_root, "eventlog")
+    os.makedirs(event_dir)
+    extra = {"spark.driver.memory": os.environ.get("BENCH_DRIVER_MEMORY", "16g"), **event_log_conf(event_dir)}
     spark = build_session(f"local[{cpus}]", "tessera-bench", shuffle_partitions=max(2, cpus * 2), extra=extra)
+    sc = spark.sparkContext
+
+    def timed(name: str, fn) -> float:
+        sc.setJobGroup(name, name)
+        t = time.perf_counter()
+        fn()
+        elapsed = time.perf_counter() - t
+        sc.setJobGroup("bench-bookkeeping", "")
+        return elapsed
 
     articles = X.articles(spark, sf_dir)
     # The test tables are single-row-group files: spread the rows over the
     # task slots before the CPU-heavy projection (a no-op for big inputs).
     replicated = SH.replicate(SH.spread(articles, ["src", "id"]), 3)
     features = extract_features(replicated)
-    out_root = tempfile.mkdtemp(prefix="tessera-bench-")
-
     # Warm-up on the smallest table set (JIT, class loading), not timed.
     write_features(extract_features(X.articles(spark, "/root/testdata/sf0.001")))
 
@@ -56,19 +62,27 @@ def main() -> None:
     n_chars = replicated.agg(F.sum(F.coalesce(F.length("text"), F.lit(0)))).first()[0] or 0
 
     q: dict[str, float] = {}
-    q["features_noop"] = timed(lambda: write_features(features))
-    q["features_parquet"] = timed(lambda: write_features(features, os.path.join(out_root, "features")))
+    q["features_noop"] = timed("features_noop", lambda: write_features(features))
+    q["features_parquet"] = timed("features_parquet", lambda: write_features(features, os.path.join(out_root, "features")))
 
     runs, stages = X.runs(spark, sf_dir), X.stage_runs(spark, sf_dir)
-    q["pivot_stages"] = timed(lambda: write_features(ST.pivot_stages(stages)))
-    q["scaling_summary"] = timed(lambda: write_features(
+    q["pivot_stages"] = timed("pivot_stages", lambda: write_features(ST.pivot_stages(stages)))
+    q["scaling_summary"] = timed("scaling_summary", lambda: write_features(
         SC.sorted_report(SC.scaling_summary(runs, stages), ["scaling_type", "total_cores"], ["run_id"])))
-    q["speedup_vs_baseline"] = timed(lambda: write_features(QUERIES["speedup_vs_baseline"].build(spark, sf_dir)))
-    q["take_fraction"] = timed(lambda: write_features(SH.take_fraction(articles, 0.5, ["src", "id"])))
-    q["validate_configs"] = timed(lambda: write_features(QUERIES["validate_configs"].build(spark, sf_dir)))
-    q["classify_runs"] = timed(lambda: write_features(QUERIES["classify_runs"].build(spark, sf_dir)))
+    q["speedup_vs_baseline"] = timed("speedup_vs_baseline", lambda: write_features(QUERIES["speedup_vs_baseline"].build(spark, sf_dir)))
+    q["take_fraction"] = timed("take_fraction", lambda: write_features(SH.take_fraction(articles, 0.5, ["src", "id"])))
+    q["validate_configs"] = timed("validate_configs", lambda: write_features(QUERIES["validate_configs"].build(spark, sf_dir)))
+    q["classify_runs"] = timed("classify_runs", lambda: write_features(QUERIES["classify_runs"].build(spark, sf_dir)))
 
     total = sum(q.values())
+
+    # Per-query stage metrics from the event log -> run records (one per query),
+    # written like the original per-run CSV files (not part of the timing).
+    stages = stage_metrics_from_event_log(spark, event_dir).filter(F.col("job_group").isin(list(q)))
+    per_query = {r["run_id"]: (r["num_stages"], r["num_tasks"]) for r in
+                 ST.run_totals(stages.withColumn("run_id", F.col("job_group"))).collect()}
+    records = ST.pivot_stages(stages.withColumn("run_id", F.col("job_group")))
+    CSV.write_runs(records, os.path.join(out_root, "run_records"))
     print(json.dumps({
         "metric": "total_query_sec",
         "value": round(total, 3),
@@ -80,6 +94,7 @@ def main() -> None:
         "feature_rows_per_sec_noop": round(n_rows / q["features_noop"], 1),
         "feature_rows_per_sec_parquet": round(n_rows / q["features_parquet"], 1),
         "feature_text_chars_per_sec_noop": round(n_chars / q["features_noop"], 1),
+        "stages_tasks": {k: list(v) for k, v in sorted(per_query.items())},
     }))
 
 
