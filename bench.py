@@ -50,29 +50,38 @@ def main() -> None:
         sc.setJobGroup("bench-bookkeeping", "")
         return elapsed
 
-    articles = X.articles(spark, sf_dir)
-    # The test tables are single-row-group files: spread the rows over the
-    # task slots before the CPU-heavy projection (a no-op for big inputs).
-    replicated = SH.replicate(SH.spread(articles, ["src", "id"]), 3)
-    features = extract_features(replicated)
-    # Warm-up on the smallest table set (JIT, class loading), not timed.
-    write_features(extract_features(X.articles(spark, "/root/testdata/sf0.001")))
+    def plans(d: str) -> dict:
+        """The headline queries over the tables in ``d`` (each returns a sink action)."""
+        arts = X.articles(spark, d)
+        # The test tables are single-row-group files: spread the rows over the
+        # task slots before the CPU-heavy projection (a no-op for big inputs).
+        feats = extract_features(SH.replicate(SH.spread(arts, ["src", "id"]), 3))
+        runs, stages = X.runs(spark, d), X.stage_runs(spark, d)
+        return {
+            "features_noop": lambda: write_features(feats),
+            "features_parquet": lambda: write_features(feats, tempfile.mkdtemp(prefix="f-", dir=out_root)),
+            "pivot_stages": lambda: write_features(ST.pivot_stages(stages)),
+            "scaling_summary": lambda: write_features(
+                SC.sorted_report(SC.scaling_summary(runs, stages), ["scaling_type", "total_cores"], ["run_id"])),
+            "speedup_vs_baseline": lambda: write_features(QUERIES["speedup_vs_baseline"].build(spark, d)),
+            "stage_index_skew_safe": lambda: write_features(QUERIES["stage_index"].build(spark, d)),
+            "take_fraction": lambda: write_features(SH.take_fraction(arts, 0.5, ["src", "id"])),
+            "validate_configs": lambda: write_features(QUERIES["validate_configs"].build(spark, d)),
+            "classify_runs": lambda: write_features(QUERIES["classify_runs"].build(spark, d)),
+        }
+
+    # Warm-up: every query once on the smallest tables (JIT, codegen caches), not timed.
+    sc.setJobGroup("bench-warmup", "")
+    for fn in plans("/root/testdata/sf0.001").values():
+        fn()
 
+    replicated = SH.replicate(X.articles(spark, sf_dir), 3)
     n_rows = replicated.count()
     n_chars = replicated.agg(F.sum(F.coalesce(F.length("text"), F.lit(0)))).first()[0] or 0
 
     q: dict[str, float] = {}
-    q["features_noop"] = timed("features_noop", lambda: write_features(features))
-    q["features_parquet"] = timed("features_parquet", lambda: write_features(features, os.path.join(out_root, "features")))
-
-    runs, stages = X.runs(spark, sf_dir), X.stage_runs(spark, sf_dir)
-    q["pivot_stages"] = timed("pivot_stages", lambda: write_features(ST.pivot_stages(stages)))
-    q["scaling_summary"] = timed("scaling_summary", lambda: write_features(
-        SC.sorted_report(SC.scaling_summary(runs, stages), ["scaling_type", "total_cores"], ["run_id"])))
-    q["speedup_vs_baseline"] = timed("speedup_vs_baseline", lambda: write_features(QUERIES["speedup_vs_baseline"].build(spark, sf_dir)))
-    q["take_fraction"] = timed("take_fraction", lambda: write_features(SH.take_fraction(articles, 0.5, ["src", "id"])))
-    q["validate_configs"] = timed("validate_configs", lambda: write_features(QUERIES["validate_configs"].build(spark, sf_dir)))
-    q["classify_runs"] = timed("classify_runs", lambda: write_features(QUERIES["classify_runs"].build(spark, sf_dir)))
+    for name, fn in plans(sf_dir).items():
+        q[name] = timed(name, fn)
 
     total = sum(q.values())
 
@@ -93,6 +102,7 @@ def main() -> None:
         "feature_rows": n_rows,
         "feature_rows_per_sec_noop": round(n_rows / q["features_noop"], 1),
         "feature_rows_per_sec_parquet": round(n_rows / q["features_parquet"], 1),
+        "feature_rows_per_sec_per_core_noop": round(n_rows / q["features_noop"] / cpus, 1),
         "feature_text_chars_per_sec_noop": round(n_chars / q["features_noop"], 1),
         "stages_tasks": {k: list(v) for k, v in sorted(per_query.items())},
     }))

@@ -41,6 +41,16 @@ def count_rows(df: DataFrame, name: str = "num_rows") -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias(name))
 
 
+def range_partitions(df: DataFrame, partitions: int | None = None) -> int:
+    """Number of range partitions for a key sort: explicit, else the larger of
+    the shuffle-partition setting and the input split count, so each range
+    stays about one input split big however large the input grows."""
+    if partitions:
+        return partitions
+    shuffle = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(shuffle, df.rdd.getNumPartitions())
+
+
 def _sort_key(key: Sequence[str]):
     return F.struct(*[F.col(c) for c in key])
 
@@ -69,8 +79,7 @@ def take_fraction(df: DataFrame, scale: float, key: Sequence[str],
         return df
     if n <= 0:
         return df.limit(0)
-    spark = df.sparkSession
-    parts = partitions or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = range_partitions(df, partitions)
     keys = (df.select(*key)
               .repartitionByRange(parts, *[F.col(c) for c in key])
               .withColumn("__pid", F.spark_partition_id())

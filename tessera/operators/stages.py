@@ -59,7 +59,9 @@ def stage_index(stages: DataFrame, run: str = "run_id",
     if not skew_safe:
         w = Window.partitionBy(run).orderBy(*[F.col(c) for c in order])
         return stages.withColumn(name, (F.row_number().over(w) - 1).cast("int"))
-    n = partitions or int(stages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    from tessera.operators.shaping import range_partitions
+
+    n = range_partitions(stages, partitions)
     keys = [run, *order]
     ranged = stages.repartitionByRange(n, *[F.col(c) for c in keys]).withColumn("__pid", F.spark_partition_id())
     before = Window.partitionBy(run).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
