@@ -42,13 +42,13 @@ def count_rows(df: DataFrame, name: str = "num_rows") -> DataFrame:
 
 
 def range_partitions(df: DataFrame, partitions: int | None = None) -> int:
-    """Number of range partitions for a key sort: explicit, else the larger of
-    the shuffle-partition setting and the input split count, so each range
-    stays about one input split big however large the input grows."""
+    """Number of range partitions for a key sort: explicit, else the input
+    split count (at least the default parallelism), so each range stays
+    about one input split big however large the input grows, and a small
+    input does not fan out into hundreds of near-empty tasks."""
     if partitions:
         return partitions
-    shuffle = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(shuffle, df.rdd.getNumPartitions())
+    return max(df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions())
 
 
 def _sort_key(key: Sequence[str]):
@@ -79,6 +79,9 @@ def take_fraction(df: DataFrame, scale: float, key: Sequence[str],
         return df
     if n <= 0:
         return df.limit(0)
+    from tessera.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(df.sparkSession)  # the shared folder named by spark.checkpoint.dir
     parts = range_partitions(df, partitions)
     keys = (df.select(*key)
               .repartitionByRange(parts, *[F.col(c) for c in key])
