@@ -91,8 +91,8 @@ def test_efficiency(spark):
     assert [r[0] for r in df.select(efficiency_pct("a", "b")).collect()] == [25.0, None]
 
 
-# Two run records of the reference's own logs and the processed rows its
-# analysis produced from them (copied by hand).
+# Two published run records and the processed rows the original
+# analysis produced from them (values copied by hand).
 RUN_FILE_1 = (
     "num_workers,mem_per_worker,cores_per_worker,dataset_scale,num_rows,num_stages,num_tasks,remark,"
     "stage0_time,stage0_throughput,stage0_executorRunTime,stage0_executorCpuTime,stage0_jvmGCTime,"
@@ -119,7 +119,7 @@ def test_golden_summary_from_ragged_run_files(spark, tmp_dir):
     import os
 
     os.makedirs(f"{tmp_dir}/logs")
-    for name, body in [("WS-4_1W-4C.csv", RUN_FILE_1), ("WS-8_2W-4C.csv", RUN_FILE_2)]:
+    for name, body in [("WS-run-a.csv", RUN_FILE_1), ("WS-run-b.csv", RUN_FILE_2)]:
         with open(f"{tmp_dir}/logs/{name}", "w") as f:
             f.write(body)
     records = CSV.read_runs(spark, f"{tmp_dir}/logs/*.csv")

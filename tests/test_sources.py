@@ -26,9 +26,9 @@ def test_read_runs_ragged_and_classified(spark, tmp_dir):
 
     os.makedirs(f"{tmp_dir}/r")
     files = {
-        "SS-4_1W-4C.csv": "num_workers,cores_per_worker,stage0_time,E2E_time\n1,4,2.5,10.0\n",
-        "WS-8_2W-4C.csv": "num_workers,cores_per_worker,stage0_time,stage1_time,E2E_time\n2,4,1.0,2.0,5.0\n",
-        "W-2-64_2W-64C.csv": 'num_workers,cores_per_worker,remark,E2E_time\n2,64,"a, b",3.0\n',
+        "SS-run-a.csv": "num_workers,cores_per_worker,stage0_time,E2E_time\n1,4,2.5,10.0\n",
+        "WS-run-b.csv": "num_workers,cores_per_worker,stage0_time,stage1_time,E2E_time\n2,4,1.0,2.0,5.0\n",
+        "W-run-c.csv": 'num_workers,cores_per_worker,remark,E2E_time\n2,64,"a, b",3.0\n',
     }
     for name, body in files.items():
         with open(f"{tmp_dir}/r/{name}", "w") as f:
