@@ -506,7 +506,10 @@ _SQL_K = "TRY_CAST(json_extract_string(props, '$.k') AS BIGINT)"
 
 def _events_with_k(spark, sf_dir) -> DataFrame:
     from tessera.sources.tables import load_table
-    ev = V.parse_json(load_table(spark, sf_dir, "events"), "props", _PROPS, "doc")
+    # JSON parsing is CPU work per row: spread an under-split input over the
+    # task slots (no-op for an input with many splits).
+    events = SH.spread(load_table(spark, sf_dir, "events"), ["event_id"])
+    ev = V.parse_json(events, "props", _PROPS, "doc")
     return ev.withColumn("k", F.col("doc.k"))
 
 
