@@ -41,14 +41,27 @@ def count_rows(df: DataFrame, name: str = "num_rows") -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias(name))
 
 
+# Target size of one range partition when sizing from statistics.
+RANGE_PARTITION_BYTES = 128 * 1024 * 1024
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """Optimizer size estimate of ``df`` (planning only: nothing is executed,
+    unlike ``df.rdd``, which would materialise the shuffle stages of an
+    adaptive plan)."""
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return int(size if isinstance(size, int) else size.toString())
+
+
 def range_partitions(df: DataFrame, partitions: int | None = None) -> int:
-    """Number of range partitions for a key sort: explicit, else the input
-    split count (at least the default parallelism), so each range stays
-    about one input split big however large the input grows, and a small
-    input does not fan out into hundreds of near-empty tasks."""
+    """Number of range partitions for a key sort: explicit, else one per
+    ~128 MiB of the (estimated) data to be range-partitioned, at least the
+    default parallelism. Each range stays bounded however large the input
+    grows, and a small input does not fan out into near-empty tasks."""
     if partitions:
         return partitions
-    return max(df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions())
+    pieces = -(-estimated_bytes(df) // RANGE_PARTITION_BYTES)
+    return int(max(df.sparkSession.sparkContext.defaultParallelism, pieces))
 
 
 def _sort_key(key: Sequence[str]):
@@ -82,7 +95,7 @@ def take_fraction(df: DataFrame, scale: float, key: Sequence[str],
     from tessera.session import ensure_checkpoint_dir
 
     ensure_checkpoint_dir(df.sparkSession)  # the shared folder named by spark.checkpoint.dir
-    parts = range_partitions(df, partitions)
+    parts = range_partitions(df.select(*key), partitions)
     keys = (df.select(*key)
               .repartitionByRange(parts, *[F.col(c) for c in key])
               .withColumn("__pid", F.spark_partition_id())
@@ -113,7 +126,8 @@ def spread(df: DataFrame, key: Sequence[str] | None = None, min_partitions: int
     Only when the input has fewer partitions than ``min_partitions``
     (default: twice the default parallelism) — e.g. one large file with a
     single row group — the rows are hash-partitioned by ``key`` (or
-    round-robin without a key). A big input already split into many
+    round-robin without a key). Apply it to a scan (before any shuffle):
+    the partition count of a plain scan is known without running anything. A big input already split into many
     partitions is returned unchanged, so no shuffle is added at scale.
     Hash partitioning on a unique key is deterministic, so a re-computed
     partition after an executor loss holds the same rows.
