@@ -67,6 +67,9 @@ def speedup(df: DataFrame, group: Sequence[str], order: Sequence[str], value: st
     configuration present). NULL when the baseline is 0 or NULL.
 
     ``order`` must end in a unique key so the baseline is deterministic.
+    With a multi-column order the ``min_by`` buffer holds a struct, so Spark
+    plans a sort-based partial aggregate (a local sort on the group key per
+    map task); the shuffle still carries one partial row per group and task.
     """
     if not group:
         raise ValueError("speedup needs at least one group column")
