@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import html_text, packing, pii, quality, url_filter, warc
+from tessera.llm import decontaminate, html_text, minmax, packing, pii, quality, url_filter, warc
 from tessera.llm.common import ship_package
 from tessera.llm.sql import SQL
 from tessera.sources.tables import load_table
@@ -40,6 +40,16 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.decontaminate(load_table(spark, sf_dir, "documents").select("doc_id", "text"), load_table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minmax.near_duplicates(load_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = warc.round_trip(load_table(spark, sf_dir, "pages"))
     full = F.col("record_type") == "response"
@@ -73,5 +83,5 @@ def _shipped(build: Callable) -> Callable:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: _shipped(f) for f in (op1_packing, op2_url_filters, op3_quality_rules, op6_warc, op9_html_extraction, op10_pii)}
+    f.__name__: _shipped(f) for f in (op1_packing, op2_url_filters, op3_quality_rules, op4_decontamination, op5_minhash_dedup, op6_warc, op9_html_extraction, op10_pii)}
 ORACLE_SQL: dict[str, str] = {k: v for k, v in SQL.items() if k in QUERIES}

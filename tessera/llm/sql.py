@@ -82,4 +82,41 @@ SELECT page_id, octet_length(p.b)::BIGINT AS payload_bytes, sha1(p.b) AS payload
 FROM p LEFT JOIN g ON p.b = g.b
 """
 
-SQL = {"op2_url_filters": OP2, "op3_quality_rules": OP3, "op6_warc": OP6}
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{}')"
+
+OP4 = rf"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, {_WORDS.format(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")} AS w FROM documents),
+b AS (SELECT item_id, {_WORDS.format(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")} AS w FROM benchmark),
+wb AS (SELECT item_id, len(p) AS n, array_to_string(p, chr(32)) AS p FROM (
+  SELECT item_id, list_slice(w, i, i + 9) AS p FROM (
+    SELECT item_id, w, unnest(generate_series(1, greatest(1, len(w) - 9))) AS i FROM b WHERE len(w) > 0))),
+sizes AS (SELECT DISTINCT n FROM wb),
+wd AS (SELECT k, i, n, array_to_string(list_slice(w, i, i + n - 1), chr(32)) AS p FROM (
+  SELECT k, w, n, unnest(generate_series(1, len(w) - n + 1)) AS i FROM d, sizes)),
+m AS (SELECT DISTINCT k, i, wd.n, item_id FROM wd JOIN wb ON wd.p = wb.p AND wd.n = wb.n),
+hit AS (SELECT k, count(DISTINCT pos) AS n FROM (SELECT k, unnest(generate_series(i, i + n - 1)) AS pos FROM m) GROUP BY 1),
+its AS (SELECT k, count(*) AS n, string_agg(s, ',' ORDER BY s) AS ids FROM (SELECT DISTINCT k, item_id::VARCHAR AS s FROM m) GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(hit.n, 0)::BIGINT AS n_hit, coalesce(its.n, 0)::BIGINT AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(hit.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (k) LEFT JOIN its USING (k)
+"""
+
+_CLASSES = rf"""
+d AS (SELECT doc_id, {_WORDS.format(r"[^\x20\x09-\x0D]+")} AS w FROM documents),
+sh AS (SELECT DISTINCT doc_id, s FROM (
+  SELECT doc_id, array_to_string(list_slice(w, i, i + 4), chr(32)) AS s FROM (
+    SELECT doc_id, w, unnest(generate_series(1, greatest(1, len(w) - 4))) AS i FROM d WHERE len(w) > 0))),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1)
+"""
+
+OP5 = rf"""
+WITH RECURSIVE {_CLASSES},
+links AS (SELECT a, b FROM (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM sh x JOIN sh y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY 1, 2) t
+  JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 75 * (na.n + nb.n - c)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, min(b) AS component_id, d.doc_id = min(b) AS kept
+FROM d LEFT JOIN n USING (doc_id) JOIN reach ON reach.a = d.doc_id GROUP BY d.doc_id, n.n
+"""
+
+SQL = {"op4_decontamination": OP4, "op5_minhash_dedup": OP5, "op2_url_filters": OP2, "op3_quality_rules": OP3, "op6_warc": OP6}
