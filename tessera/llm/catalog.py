@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, html_text, minmax, packing, pii, quality, url_filter, warc
+from tessera.llm import decontaminate, html_text, minmax, packing, pii, quality, substring_dedup, suffix_dedup, url_filter, warc
 from tessera.llm.common import ship_package
 from tessera.llm.sql import SQL
 from tessera.sources.tables import load_table
@@ -58,6 +58,16 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(full, F.sha1("payload")).otherwise(F.col("header_digest")).alias("payload_digest"), "record_type", "refers_to")
 
 
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffix_dedup.drop_repeated_bytes(load_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substring_dedup.drop_repeated_words(load_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_pages(load_table(spark, sf_dir, "pages"))
 
@@ -83,5 +93,6 @@ def _shipped(build: Callable) -> Callable:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: _shipped(f) for f in (op1_packing, op2_url_filters, op3_quality_rules, op4_decontamination, op5_minhash_dedup, op6_warc, op9_html_extraction, op10_pii)}
+    f.__name__: _shipped(f) for f in (op1_packing, op2_url_filters, op3_quality_rules, op4_decontamination, op5_minhash_dedup, op6_warc,
+    op7_suffix_array_dedup, op8_substring_dedup, op9_html_extraction, op10_pii)}
 ORACLE_SQL: dict[str, str] = {k: v for k, v in SQL.items() if k in QUERIES}

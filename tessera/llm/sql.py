@@ -119,4 +119,18 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, min(b) AS component_id,
 FROM d LEFT JOIN n USING (doc_id) JOIN reach ON reach.a = d.doc_id GROUP BY d.doc_id, n.n
 """
 
-SQL = {"op4_decontamination": OP4, "op5_minhash_dedup": OP5, "op2_url_filters": OP2, "op3_quality_rules": OP3, "op6_warc": OP6}
+OP8 = rf"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '{_SPACE}+'), lambda x: x <> '') AS w FROM documents),
+win AS (SELECT k, i, md5(array_to_string(list_slice(w, i, i + 34), chr(32))) AS h FROM (
+  SELECT k, w, unnest(generate_series(1, len(w) - 34)) AS i FROM d)),
+twice AS (SELECT h FROM win GROUP BY 1 HAVING count(*) > 1),
+starts AS (SELECT k, i FROM win WHERE h IN (SELECT h FROM twice)),
+gone AS (SELECT DISTINCT k, unnest(generate_series(i, i + 34)) AS p FROM starts),
+word AS (SELECT k, unnest(generate_series(1, len(w))) AS p, unnest(w) AS x FROM d),
+kept AS (SELECT word.k, string_agg(x, ' ' ORDER BY word.p) AS t FROM word ANTI JOIN gone ON word.k = gone.k AND word.p = gone.p GROUP BY 1),
+n AS (SELECT k, count(*) AS n FROM gone GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n.n, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN n USING (k) LEFT JOIN kept USING (k)
+"""
+
+SQL = {"op8_substring_dedup": OP8, "op4_decontamination": OP4, "op5_minhash_dedup": OP5, "op2_url_filters": OP2, "op3_quality_rules": OP3, "op6_warc": OP6}
