@@ -69,7 +69,7 @@ def word_scheme(width: int = 35, pair_rounds: int = 1, digits: int = 2) -> Schem
         out[starts] = np.minimum(names, FULL - np.uint64(1))
         return out
 
-    return Scheme(width, first, last, digits, word_hashes, ranks, all_places=True)
+    return Scheme(width, first, last, tuple(-(-width * (k + 1) // digits) for k in range(digits)), word_hashes, ranks, all_places=True)
 
 
 def drop_repeated_words(docs: DataFrame, width: int = 35, pair_rounds: int = 1, digits: int = 2, chunk_bytes: int = 32 << 20) -> DataFrame:

@@ -29,14 +29,15 @@ def _bytes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return BYTE_VALUES[np.frombuffer(b"".join(texts), np.uint8)], np.cumsum([0, *map(len, texts)])
 
 
-def byte_scheme(width: int = 100, core: int = 32, digits: int = 4) -> Scheme:
+def byte_scheme(width: int = 100, core: int = 32, digits: int = 2) -> Scheme:
     def ranks(values: np.ndarray, firsts: np.ndarray) -> np.ndarray:
         return mix(rolled(values, core))
 
-    return Scheme(width, 0, width - core, digits, _bytes, ranks, all_places=False)
+    prefixes = tuple(-(-width * (k + 1) // digits) for k in range(digits))
+    return Scheme(width, 0, width - core, prefixes, _bytes, ranks, all_places=False)
 
 
-def drop_repeated_bytes(docs: DataFrame, width: int = 100, core: int = 32, digits: int = 4, chunk_bytes: int = 32 << 20) -> DataFrame:
+def drop_repeated_bytes(docs: DataFrame, width: int = 100, core: int = 32, digits: int = 2, chunk_bytes: int = 32 << 20) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept binary) of (doc_id, text)."""
     scheme = byte_scheme(width, core, digits)
     schema = pa.schema([("doc", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])
