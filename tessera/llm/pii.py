@@ -93,7 +93,7 @@ def candidates(text: str) -> list[Span]:
         for m in NUMBERS.finditer(text):
             out += [("card", *m.span()), ("phone", *m.span())]
         out += [("ip", *m.span()) for m in DOTTED.finditer(text)]
-    out += [("secret", *m.span()) for m in TOKEN.finditer(text) if DIGIT.search(m[0]) and not m[0].isdigit()]
+    out += [("secret", *m.span()) for m in TOKEN.finditer(text) if not m[0].isdigit()]
     return out
 
 
@@ -169,7 +169,7 @@ def train(docs: DataFrame, sample_docs: int = 3000, per_kind: int = 4000, precis
     for kind, found in data.items():
         x, y = np.array([f for f, _ in found], float), np.array([t for _, t in found], float)
         held = np.arange(len(y)) % 3 == 0
-        if len(y) < 30 or not 0 < y[~held].sum() < len(y[~held]):
+        if len(y) < 12 or not 0 < y[~held].sum() < len(y[~held]):
             continue
         trees = fit_boosted_trees(x[~held], y[~held])
         threshold = calibrated_threshold(trees.probabilities(x[held]), y[held], precision)

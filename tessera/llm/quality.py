@@ -110,3 +110,13 @@ def judge_quality(df: DataFrame, text: str = "text", thresholds: Sequence[Thresh
     out = with_ratios(with_counts(df, text))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_pct * F.col("n_words"))
     return out.withColumn("base_failed", failed).withColumn("kept", ~failed & passes(thresholds))
+
+
+def keep_quality(df: DataFrame, text: str = "text", **rules) -> DataFrame:
+    """The rows of ``df`` that the rules keep, its columns unchanged.
+
+    A plain filter would be pushed below the projections that compute the counts and evaluate each
+    of their nested expressions over and over; an exploded array of one or no element is not.
+    """
+    judged = judge_quality(df.select(F.struct("*").alias("__row"), F.col(text).alias(text)), text, **rules)
+    return judged.select("__row", F.explode(F.when(F.col("kept"), F.array(F.lit(1)))).alias("__one")).select("__row.*")
