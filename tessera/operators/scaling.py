@@ -154,7 +154,7 @@ def gc_by_config(summary: DataFrame) -> DataFrame:
     """Total JVM GC time per worker-sweep configuration."""
     s = with_labels(summary).filter(F.col("scaling_type") == SWEEP)
     return s.select("run_id", "config_name", "num_workers", "cores_per_worker", "total_cores",
-                    "E2E_time", "Total_JVM_GC_Time")
+                    "E2E_time", "Total_JVM_GC_Time").orderBy("num_workers", "run_id")
 
 
 def executor_times(summary: DataFrame) -> DataFrame:

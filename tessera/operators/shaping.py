@@ -72,7 +72,7 @@ def take_fraction(df: DataFrame, scale: float, key: Sequence[str],
                   partitions: int | None = None) -> DataFrame:
     """The first ``int(total * scale)`` rows in ``key`` order, exactly.
 
-    ``key`` must be unique. Instead of ``orderBy(key).limit(n)`` (which
+    Of rows that tie at the cut-off key any are taken, as many as are wanted. Instead of ``orderBy(key).limit(n)`` (which
     funnels n rows through one task) the cut-off key is located and the
     result is a plain filter ``key <= cutoff`` over the source:
 
@@ -117,7 +117,11 @@ def take_fraction(df: DataFrame, scale: float, key: Sequence[str],
     cutoff = ranked.filter(F.col("__r") == k).select("__k").first()["__k"]
     lit_key = F.struct(*[F.lit(cutoff[i]).cast(df.schema[c].dataType).alias(c)
                          for i, c in enumerate(key)])
-    return df.filter(_sort_key(key) <= lit_key)
+    # equal keys share a range partition: how many tie at the cut-off, and how many of them are wanted
+    ties, below = ranked.agg(F.count_if(F.col("__k") == lit_key), F.count_if(F.col("__k") < lit_key)).first()
+    if k - below == ties:
+        return df.filter(_sort_key(key) <= lit_key)
+    return df.filter(_sort_key(key) < lit_key).unionByName(df.filter(_sort_key(key) == lit_key).limit(k - below))
 
 
 def spread(df: DataFrame, key: Sequence[str] | None = None, min_partitions: int | None = None) -> DataFrame:

@@ -38,7 +38,7 @@ def run_totals(stages: DataFrame, run: str = "run_id", tasks: str = "num_tasks")
 
 def stage_index(stages: DataFrame, run: str = "run_id",
                 order: Sequence[str] = DEFAULT_ORDER, name: str = "stage_idx",
-                skew_safe: bool = False, partitions: int | None = None) -> DataFrame:
+                skew_safe: bool = False) -> DataFrame:
     """Zero-based stage position within its run, in (job, stage, tie) order.
 
     The order keys must make rows unique within a run for a deterministic index.
@@ -47,31 +47,36 @@ def stage_index(stages: DataFrame, run: str = "run_id",
     every run is ranked inside one task, which is right when runs are
     bounded (a run record holds at most ``max_stages`` stages).
 
-    ``skew_safe=True``: no task ever holds a whole run. Rows are
-    range-partitioned on the full key (run, order...), which splits a hot
-    run over consecutive partitions; rows are ranked within (partition,
-    run), and each (partition, run) segment gets the row count of the same
-    run in earlier partitions as offset. The offsets come from a partial
-    aggregate (one row per segment) and a running sum per run over at most
-    one row per partition. Range bounds are sampled deterministically, so
-    a recomputed partition after an executor loss gets the same id.
+    ``skew_safe=True``: no task ever holds a whole run. Rows are ranked within
+    (run, first order key, second order key), so a hot run is split by its own
+    data; the segments' offsets are running sums over one pre-aggregated row per
+    segment: within (run, first key) over the second key, and within the run over
+    the first key. Nothing depends on partition ids or sampling, so any columns
+    may be kept and a recomputed task gives the same rows.
     """
     if not skew_safe:
         w = Window.partitionBy(run).orderBy(*[F.col(c) for c in order])
         return stages.withColumn(name, (F.row_number().over(w) - 1).cast("int"))
-    from tessera.operators.shaping import range_partitions
-
-    n = range_partitions(stages, partitions)
-    keys = [run, *order]
-    ranged = stages.repartitionByRange(n, *[F.col(c) for c in keys]).withColumn("__pid", F.spark_partition_id())
-    before = Window.partitionBy(run).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (ranged.groupBy("__pid", run).agg(F.count(F.lit(1)).alias("__n"))
-                     .withColumn("__off", F.coalesce(F.sum("__n").over(before), F.lit(0)))
-                     .select("__pid", run, "__off"))
-    local = Window.partitionBy("__pid", run).orderBy(*[F.col(c) for c in order])
-    return (ranged.join(offsets, ["__pid", run])
-                  .withColumn(name, (F.col("__off") + F.row_number().over(local) - 1).cast("int"))
-                  .drop("__pid", "__off"))
+    lead = list(order[:2])
+    earlier = (Window.unboundedPreceding, -1)
+    segments = stages.groupBy(run, *lead).agg(F.count(F.lit(1)).alias("__n"))
+    first = segments.groupBy(run, lead[0]).agg(F.sum("__n").alias("__m"))
+    by_first = Window.partitionBy(run).orderBy(lead[0]).rowsBetween(*earlier)
+    first = first.withColumn("__before", F.coalesce(F.sum("__m").over(by_first), F.lit(0))).drop("__m")
+    offsets = _null_safe(segments, first, [run, lead[0]], ["__before"])
+    by_second = Window.partitionBy(run, lead[0]).orderBy(*lead[1:] or lead).rowsBetween(*earlier)
+    offsets = offsets.select(run, *lead, (F.col("__before") + F.coalesce(F.sum("__n").over(by_second), F.lit(0))).alias("__off"))
+    local = Window.partitionBy(run, *lead).orderBy(*[F.col(c) for c in order])
+    return (_null_safe(stages, offsets, [run, *lead], ["__off"])
+            .withColumn(name, (F.col("__off") + F.row_number().over(local) - 1).cast("int"))
+            .drop("__off"))
+
+
+def _null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], take: Sequence[str]) -> DataFrame:
+    """``left`` with the columns ``take`` of ``right``, joined on ``keys``; NULL keys meet."""
+    named = right.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], *take)
+    on = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)]
+    return left.join(named, on).drop(*[f"__k{i}" for i in range(len(keys))])
 
 
 def stage_metrics(stages: DataFrame) -> DataFrame:

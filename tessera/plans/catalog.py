@@ -246,12 +246,15 @@ def q_stage_throughput(spark, sf_dir):
 
 
 @register("stage_index", X.with_views(
-    "SELECT run_id, job_id, stage_id, tie, CAST(row_number() OVER "
-    "(PARTITION BY run_id ORDER BY job_id, stage_id, tie) - 1 AS INT) AS stage_idx FROM stage_runs",
+    "SELECT run_id, job_id, stage_id, tie, num_tasks, records_read, executor_run_time, CAST(row_number() OVER "
+    "(PARTITION BY run_id ORDER BY job_id, stage_id, tie, num_tasks, records_read, executor_run_time) - 1 AS INT) "
+    "AS stage_idx FROM stage_runs",
     "stage_runs"))
 def q_stage_index(spark, sf_dir):
-    return ST.stage_index(X.stage_runs(spark, sf_dir), skew_safe=True).select(
-        "run_id", "job_id", "stage_id", "tie", "stage_idx")
+    # the payload columns break ties, so that the index of every whole row is defined
+    order = (*ST.DEFAULT_ORDER, "num_tasks", "records_read", "executor_run_time")
+    return ST.stage_index(X.stage_runs(spark, sf_dir), order=order, skew_safe=True).select(
+        "run_id", "job_id", "stage_id", "tie", "num_tasks", "records_read", "executor_run_time", "stage_idx")
 
 
 def _pivot_sql(n: int) -> str:
@@ -471,7 +474,7 @@ def q_classify_runs(spark, sf_dir):
     r = X.runs(spark, sf_dir)
     for folder, label, cols in _RUN_FILE_LAYOUTS:
         CSV.write_runs(r.filter(F.col("scaling_type") == label).select(*cols), f"{root}/{folder}", order=cols)
-    back = CSV.read_runs(spark, f"{root}/*/*.csv", first_field="run_id", classify_by="dir")
+    back = CSV.read_runs(spark, f"{root}/*/*.csv", classify_by="dir")
     return back.select("run_id", "scaling_type", "num_workers", "cores_per_worker", "dataset_scale",
                        "num_rows", "e2e_time",
                        CSV.base_name(F.col("log_dir")).alias("log_name"))

@@ -81,18 +81,16 @@ def parent_dir(path: Column) -> Column:
     return F.substring(path, F.lit(1), F.length(path) - F.length(base_name(path)) - 1)
 
 
-def read_runs(spark: SparkSession, paths: str | Sequence[str], first_field: str = "num_workers",
-              classify_by: str = "file", max_layouts: int = 1000) -> DataFrame:
+def read_runs(spark: SparkSession, paths: str | Sequence[str], classify_by: str = "file") -> DataFrame:
     """Read run-record CSV files whose column sets differ (ragged) into one frame.
 
     A single CSV read would apply the first file's header to every file, so
-    rows are parsed with the header of their own file: one distributed text
-    scan, the header lines (starting with ``first_field``, one per file)
-    joined back to the data lines on the file path, and one ``from_csv``
-    per distinct layout (few: one per stage count, checked against
-    ``max_layouts``; only the distinct header strings reach the driver).
-    The per-layout branches are unioned by column name (missing columns
-    NULL); they share the scan and join exchange, which Spark reuses.
+    rows are parsed with the header of their own file, its first non-empty
+    line whatever its first field: the line of the file's first block with the
+    smallest row position. Headers are joined back to the data lines on the
+    file path, and each distinct layout (one per stage count) is parsed with
+    one ``from_csv``; only the distinct header strings reach the driver. The
+    per-layout branches are unioned by column name (missing columns NULL).
     Records are single-line CSV (quoted commas are fine).
 
     Adds ``source_file``, ``log_dir`` (parent folder) and ``scaling_type``
@@ -100,13 +98,14 @@ def read_runs(spark: SparkSession, paths: str | Sequence[str], first_field: str
     (``"dir"``): 'SS*' strong, 'WS*' weak, 'W-*' sweep.
     """
     path_list = [paths] if isinstance(paths, str) else list(paths)
-    lines = spark.read.text(path_list).select("value", F.col("_metadata.file_path").alias("source_file"))
-    is_head = F.col("value").startswith(first_field + ",") | (F.col("value") == first_field)
-    heads = lines.filter(is_head).select("source_file", F.col("value").alias("header"))
-    body = lines.filter(~is_head & (F.length("value") > 0)).join(heads, "source_file")
-    layouts = [r["header"] for r in heads.select("header").distinct().limit(max_layouts + 1).collect()]
-    if len(layouts) > max_layouts:
-        raise ValueError(f"more than {max_layouts} distinct run-file layouts")
+    lines = (spark.read.text(path_list)
+             .select("value", F.col("_metadata.file_path").alias("source_file"),
+                     F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__row"))
+             .filter(F.length("value") > 0))
+    heads = (lines.filter("__block = 0").groupBy("source_file")
+             .agg(F.min_by("value", "__row").alias("header"), F.min("__row").alias("__head")))
+    body = lines.join(heads, "source_file").filter((F.col("__block") > 0) | (F.col("__row") > F.col("__head")))
+    layouts = [r["header"] for r in heads.select("header").distinct().collect()]
     frames = []
     for header in sorted(layouts):
         schema = run_schema(header)
@@ -131,28 +130,26 @@ def with_source(df: DataFrame, out: str = "log_dir") -> DataFrame:
 def read_with_source(spark: SparkSession, paths: str | Sequence[str],
                      schema: T.StructType | str, fmt: str = "csv",
                      options: dict[str, str] | None = None) -> DataFrame:
-    """Read files with provenance; unreadable files are skipped
-    (``ignoreCorruptFiles``) instead of failing the job."""
-    reader = spark.read.format(fmt).schema(schema).option("ignoreCorruptFiles", True)
+    """Read files with provenance; an unreadable file fails the job, so no row is lost
+    without notice. Whoever wants Spark's ``ignoreCorruptFiles`` (which keeps the rows
+    read before a defect) passes it in ``options``."""
+    reader = spark.read.format(fmt).schema(schema)
     for k, v in (options or {}).items():
         reader = reader.option(k, v)
     return with_source(reader.load(paths if isinstance(paths, str) else list(paths)))
 
 
-def run_record_columns(df: DataFrame, max_stages: int | None = None) -> list[str]:
-    """Writer field order: config columns, stage columns (stage-major), E2E columns."""
+def run_record_columns(df: DataFrame) -> list[str]:
+    """Writer field order: config columns, other columns, stage columns (stage-major), E2E columns."""
     from tessera.operators.stages import STAGE_METRICS
 
     present = set(df.columns)
     stages = sorted({int(c[5:c.index("_")]) for c in df.columns
                      if c.startswith("stage") and "_" in c and c[5:c.index("_")].isdigit()})
-    if max_stages is not None:
-        stages = [i for i in stages if i < max_stages]
-    cols = [c for c in RUN_CONFIG_COLUMNS if c in present]
-    cols += [f"stage{i}_{m}" for i in stages for m in STAGE_METRICS if f"stage{i}_{m}" in present]
+    config = [c for c in RUN_CONFIG_COLUMNS if c in present]
+    cols = [f"stage{i}_{m}" for i in stages for m in STAGE_METRICS if f"stage{i}_{m}" in present]
     cols += [c for c in ("E2E_time", "E2E_throughput") if c in present]
-    rest = [c for c in df.columns if c not in cols]
-    return rest + cols
+    return config + [c for c in df.columns if c not in config and c not in cols] + cols
 
 
 def write_runs(df: DataFrame, path: str, order: Iterable[str] | None = None) -> None:
