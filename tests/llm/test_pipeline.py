@@ -40,7 +40,7 @@ def test_stages_on_the_small_table(spark):
 
 def test_odd_rows_pass_through(spark):
     long = " ".join(f"the word{k} of" for k in range(40))
-    rows = [(1, long), (1, long), (1, long + " other"), (None, long), (None, long), (2, None), (3, ""), (4, long.upper())]
+    rows = [(1, long), (1, long), (1, long + " other"), (None, long), (None, long), (2, None), (3, ""), (4, long.title())]
     docs = frame(spark, rows)
     first = P.quality_rules(spark, docs, SF001)
     assert first.columns == docs.columns and sorted(r.doc_id or 0 for r in first.collect()) == [0, 0, 1, 1, 1, 4]
