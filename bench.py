@@ -55,7 +55,7 @@ def main() -> None:
         arts = X.articles(spark, d)
         # The test tables are single-row-group files: spread the rows over the
         # task slots before the CPU-heavy projection (a no-op for big inputs).
-        feats = extract_features(SH.replicate(SH.spread(arts, ["src", "id"]), 3))
+        feats = extract_features(SH.replicate(SH.spread(arts, ["src", "id"], 2 * spark.sparkContext.defaultParallelism), 3))
         runs, stages = X.runs(spark, d), X.stage_runs(spark, d)
         return {
             "features_noop": lambda: write_features(feats),

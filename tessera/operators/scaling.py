@@ -161,4 +161,4 @@ def executor_times(summary: DataFrame) -> DataFrame:
     """Executor run vs CPU time and CPU efficiency per core count (strong scaling)."""
     s = summary.filter(F.col("scaling_type") == STRONG)
     return s.select("run_id", "total_cores", "Total_Executor_Run_Time", "Total_Executor_CPU_Time",
-                    "CPU_Efficiency")
+                    "CPU_Efficiency").orderBy("total_cores", "run_id")

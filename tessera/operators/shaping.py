@@ -124,19 +124,14 @@ def take_fraction(df: DataFrame, scale: float, key: Sequence[str],
     return df.filter(_sort_key(key) < lit_key).unionByName(df.filter(_sort_key(key) == lit_key).limit(k - below))
 
 
-def spread(df: DataFrame, key: Sequence[str] | None = None, min_partitions: int | None = None) -> DataFrame:
-    """Spread a CPU-heavy row-wise plan over all task slots.
-
-    Only when the input has fewer partitions than ``min_partitions``
-    (default: twice the default parallelism) — e.g. one large file with a
-    single row group — the rows are hash-partitioned by ``key`` (or
-    round-robin without a key). Apply it to a scan (before any shuffle):
-    the partition count of a plain scan is known without running anything. A big input already split into many
-    partitions is returned unchanged, so no shuffle is added at scale.
-    Hash partitioning on a unique key is deterministic, so a re-computed
-    partition after an executor loss holds the same rows.
+def spread(df: DataFrame, key: Sequence[str] | None = None, partitions: int | None = None) -> DataFrame:
+    """Spread a CPU-heavy row-wise plan over ``partitions`` tasks, as the caller asks.
+
+    For an input with too few splits (one large file with a single row group): the rows are
+    hash-partitioned by ``key`` (or round-robin without a key). Hash partitioning on a unique key is
+    deterministic, so a re-computed partition after an executor loss holds the same rows. Without
+    ``partitions`` the frame is returned unchanged; nothing is decided from the input's size.
     """
-    target = min_partitions or 2 * df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
+    if partitions is None:
         return df
-    return df.repartition(target, *[F.col(c) for c in key]) if key else df.repartition(target)
+    return df.repartition(partitions, *[F.col(c) for c in key]) if key else df.repartition(partitions)

@@ -74,8 +74,6 @@ def with_defaults(df: DataFrame, defaults: Mapping[str, object]) -> DataFrame:
 RUN_CONFIG_REQUIRED = ["name", "num_workers", "mem_per_worker", "cores_per_worker",
                        "dataset_scale", "log_dir"]
 RUN_CONFIG_DEFAULTS = {"remark": "", "benchmark_name": ""}
-# ---------------------------------------------------------------------------
-
 RUN_CONFIG_SCHEMA = T.StructType([
     T.StructField("name", T.StringType()),
     T.StructField("num_workers", T.LongType()),
@@ -86,6 +84,7 @@ RUN_CONFIG_SCHEMA = T.StructType([
     T.StructField("remark", T.StringType()),
     T.StructField("benchmark_name", T.StringType()),
 ])
+# ---------------------------------------------------------------------------
 
 
 def run_config_rules(prefix: str = "") -> dict[str, Column]:
@@ -101,14 +100,42 @@ def run_config_rules(prefix: str = "") -> dict[str, Column]:
 
 def validate_configs(df: DataFrame, col: str = "config") -> DataFrame:
     """Full check of JSON run requests: parse -> required fields -> ranges ->
-    defaults. Adds ``reason`` (NULL when the request is accepted)."""
+    defaults. Adds ``reason`` (NULL when the request is accepted). A present
+    field with JSON null counts as missing."""
     parsed = parse_json(df, col, RUN_CONFIG_SCHEMA, "cfg")
     parsed = require_fields(parsed, RUN_CONFIG_REQUIRED, prefix="cfg.")
     checked = check_ranges(parsed, run_config_rules("cfg."))
-    reason = (F.when(F.col("cfg_malformed"), F.lit("malformed JSON"))
+    # valid JSON that does not fit the record: a field of another type, or no object at all
+    reason = (F.when(F.col("cfg_malformed") & F.try_parse_json(F.col(col)).isNotNull(), F.lit("wrong type"))
+               .when(F.col("cfg_malformed"), F.lit("malformed JSON"))
                .when(F.col("missing_field").isNotNull(),
                      F.concat(F.lit("missing field: "), F.col("missing_field")))
                .when(~F.col("valid"), F.concat(F.lit("out of range: "), F.col("failed_rule"))))
     return checked.withColumn("reason", reason).withColumn(
         "cfg", F.col("cfg").withField("remark", F.coalesce(F.col("cfg.remark"), F.lit("")))
                            .withField("benchmark_name", F.coalesce(F.col("cfg.benchmark_name"), F.lit(""))))
+
+
+def request_entries(df: DataFrame, col: str, entry: str = "entry", pos: str = "pos") -> DataFrame:
+    """One row per entry of the JSON array in ``col``: its JSON text and 0-based position.
+
+    A document that is no JSON array (NULL, malformed, a single object) keeps one row with NULL entry
+    and position and ``reason``; an empty array has no entries and gives no rows.
+    """
+    text = F.ltrim(F.col(col))
+    entries = F.from_json(F.col(col), T.ArrayType(T.StringType()))
+    is_array = text.startswith("[") & entries.isNotNull()
+    reason = (F.when(F.col(col).isNull(), F.lit("missing document"))
+               .when(F.try_parse_json(F.col(col)).isNull(), F.lit("malformed JSON"))
+               .when(~is_array, F.lit("not an array")))
+    tagged = df.withColumn("reason", reason).withColumn("__entries", F.when(F.col("reason").isNull(), entries))
+    rows = tagged.where(F.col("reason").isNotNull() | (F.size("__entries") > 0))
+    return rows.select(*[c for c in rows.columns if c != "__entries"], F.posexplode_outer("__entries").alias(pos, entry))
+
+
+def validate_requests(df: DataFrame, col: str = "request") -> DataFrame:
+    """JSON arrays of run configurations: every entry is checked like a single request, with its
+    position, and a document that is no array is rejected as a whole. ``reason`` is NULL when accepted."""
+    rows = request_entries(df, col).withColumnRenamed("reason", "__doc_reason")
+    checked = validate_configs(rows, "entry")
+    return (checked.withColumn("reason", F.coalesce("__doc_reason", "reason")).drop("__doc_reason"))

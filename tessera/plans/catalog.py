@@ -344,7 +344,24 @@ def q_scaling_summary(spark, sf_dir):
 
 @register("top_runs", _summary_sql(_sql_r6(_SUMMARY_COLS), "ORDER BY scaling_type, total_cores, run_id LIMIT 10"))
 def q_top_runs(spark, sf_dir):
-    return _r6(SC.top_n(_summary(spark, sf_dir), ["scaling_type", "total_cores", "run_id"], 10), _ROUNDED)
+    """The order keys come from the run header: its top rows are taken first, only their stages are added up."""
+    from tessera.functions.metrics import total_cores
+    order = ["scaling_type", "total_cores", "run_id"]
+    first = SC.top_n(X.runs(spark, sf_dir).withColumn("total_cores", total_cores()), order, 10)
+    stages = X.stage_runs(spark, sf_dir).join(first.select("run_id"), "run_id", "left_semi")
+    return _r6(SC.sorted_report(SC.scaling_summary(first, stages), order), _ROUNDED)
+
+
+@register("wide_summary", _summary_sql(_sql_r6(_SUMMARY_COLS)))
+def q_wide_summary(spark, sf_dir):
+    """The summary by the wide route: run records with stage columns, one frame per group, tagged,
+    united by name, totalled over their columns and projected by prefix."""
+    wide = ST.pivot_stages(X.stage_runs(spark, sf_dir)).drop("num_stages", "num_tasks")
+    header = X.runs(spark, sf_dir).withColumns({
+        "E2E_time": F.col("e2e_time").cast("double"), "E2E_throughput": throughput("num_rows", "e2e_time")})
+    records = header.join(wide, "run_id", "left")
+    groups = {g: records.filter(F.col("scaling_type") == g).drop("scaling_type") for g in X.SCALING_TYPES}
+    return _r6(SC.summarize_records(SC.tag_and_union(groups), keep=["run_id"]).select(*_SUMMARY_COLS), _ROUNDED)
 
 
 @register("cpu_efficiency", _summary_sql(
@@ -509,10 +526,7 @@ _SQL_K = "TRY_CAST(json_extract_string(props, '$.k') AS BIGINT)"
 
 def _events_with_k(spark, sf_dir) -> DataFrame:
     from tessera.sources.tables import load_table
-    # JSON parsing is CPU work per row: spread an under-split input over the
-    # task slots (no-op for an input with many splits).
-    events = SH.spread(load_table(spark, sf_dir, "events"), ["event_id"])
-    ev = V.parse_json(events, "props", _PROPS, "doc")
+    ev = V.parse_json(load_table(spark, sf_dir, "events"), "props", _PROPS, "doc")
     return ev.withColumn("k", F.col("doc.k"))
 
 
@@ -571,6 +585,46 @@ def q_validate_configs(spark, sf_dir):
     return checked.select("event_id", "reason", F.col("cfg.remark").alias("remark"))
 
 
+# Request documents per event: an array of two, a single object, a truncated array, an array with a wrong
+# type and a scalar, an empty array. The same text in Spark SQL and DuckDB.
+_REQUEST = """CASE event_id % 5
+  WHEN 0 THEN '[{"name":"' || event_type || '","num_workers":' || CAST(user_id % 4 AS STRING) ||
+    ',"mem_per_worker":1,"cores_per_worker":2,"dataset_scale":' || CAST(event_id % 3 AS STRING) ||
+    ',"log_dir":"logs"}, {"name":"x","num_workers":1}]'
+  WHEN 1 THEN '{"name":"x","num_workers":1}'
+  WHEN 2 THEN '[{"name":"x"'
+  WHEN 3 THEN '[{"name":"x","num_workers":"two"}, 7]'
+  ELSE '[]' END"""
+
+
+@register("validate_requests", f"""
+WITH docs AS (SELECT event_id, {_REQUEST} AS request FROM events),
+items AS (SELECT event_id, CAST(unnest(range(CAST(CASE WHEN json_valid(request) THEN json_array_length(request) END AS BIGINT))) AS INT) AS pos, request FROM docs
+          WHERE json_valid(request) AND json_type(request) = 'ARRAY'),
+entries AS (SELECT event_id, pos, json_extract(request, '$[' || pos || ']') AS e FROM items)
+SELECT event_id, pos, CASE
+  WHEN json_type(e) <> 'OBJECT' OR json_type(e, '$.num_workers') = 'VARCHAR' THEN 'wrong type'
+  WHEN json_type(e, '$.mem_per_worker') IS NULL THEN 'missing field: mem_per_worker'
+  WHEN CAST(json_extract(e, '$.num_workers') AS BIGINT) < 1 THEN 'out of range: num_workers>=1'
+  WHEN CAST(json_extract(e, '$.dataset_scale') AS DOUBLE) > 1 THEN 'out of range: 0<=dataset_scale<=1' END AS reason
+FROM entries
+UNION ALL
+SELECT event_id, NULL, CASE WHEN json_valid(request) THEN 'not an array' ELSE 'malformed JSON' END
+FROM docs WHERE NOT json_valid(request) OR json_type(request) <> 'ARRAY'""")
+def q_validate_requests(spark, sf_dir):
+    """Arrays of run configurations, good and bad, checked entry by entry."""
+    from tessera.sources.tables import load_table
+    docs = load_table(spark, sf_dir, "events").select("event_id", F.expr(_REQUEST).alias("request"))
+    return V.validate_requests(docs).select("event_id", "pos", "reason")
+
+
+@register("measured_rows", X.with_views("SELECT CAST(count(*) AS BIGINT) AS num_rows, true AS timed FROM articles", "articles"))
+def q_measured_rows(spark, sf_dir):
+    """The part of a measured run that does not vary: rows counted during the run, and that it took time."""
+    run = measure(extract_features(_articles(spark, sf_dir), keywords=X.PROBE_KEYWORDS))
+    return run.select("num_rows", (F.col("E2E_time") > 0).alias("timed"))
+
+
 @register("measured_run", None)
 def q_measured_run(spark, sf_dir):
     """One measured run of the full feature pipeline (time varies: rows-only)."""

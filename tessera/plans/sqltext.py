@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from tessera.functions.lexicon import SPLIT_CONTRACTIONS, default_stopwords, matchable_stopwords
+from tessera.functions.lexicon import SPLIT_CONTRACTIONS, default_stopwords
 
 WS = r"\t\n\x0b\f\r "
 
@@ -66,7 +66,7 @@ def keyword_hits(cols: Iterable[str], keywords: Iterable[str]) -> str:
 
 
 def clean_text(c: str, stopwords: Iterable[str] | None = None) -> str:
-    words = matchable_stopwords(default_stopwords() if stopwords is None else list(stopwords))
+    words = default_stopwords() if stopwords is None else list(stopwords)  # the raw list: the oracle shares no list handling
     y = f"regexp_replace(lower({c}), '[^a-zA-Z{WS}]', '', 'g')"
     for whole, head, tail in SPLIT_CONTRACTIONS:
         y = f"regexp_replace({y}, '\\b{whole}\\b', '{head} {tail}', 'g')"

@@ -44,6 +44,6 @@ def test_take_fraction_plan_has_no_single_partition(spark):
 
 def test_spread_only_when_few_partitions(spark):
     small = spark.range(0, 100, 1, 1)
-    assert SH.spread(small, ["id"], min_partitions=4).rdd.getNumPartitions() == 4
+    assert SH.spread(small, ["id"], partitions=4).rdd.getNumPartitions() == 4
     many = spark.range(0, 100, 1, 8)
-    assert SH.spread(many, ["id"], min_partitions=4) is many
+    assert SH.spread(many, ["id"]) is many

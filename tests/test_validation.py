@@ -37,6 +37,17 @@ def test_validate_configs(spark):
     assert out[0]["cfg"]["remark"] == "" and out[0]["cfg"]["benchmark_name"] == ""
 
 
+def test_validate_requests(spark):
+    good = '{"name":"a","num_workers":1,"mem_per_worker":2,"cores_per_worker":4,"dataset_scale":1.0,"log_dir":"x"}'
+    docs = [(1, f"[{good}, {good.replace('1,', '0,', 1)}]"), (2, good), (3, f"[{good}"), (4, None), (5, "[]"),
+            (6, f' [ {good.replace("2", chr(34) + "two" + chr(34))}, 7, null]'), (7, ""), (8, "3")]
+    out = V.validate_requests(spark.createDataFrame(docs, "id int, request string"))
+    got = {(r["id"], r["pos"]): r["reason"] for r in out.collect()}
+    assert got == {(1, 0): None, (1, 1): "out of range: num_workers>=1", (2, None): "not an array", (3, None): "malformed JSON",
+                   (4, None): "missing document", (6, 0): "wrong type", (6, 1): "wrong type", (6, 2): "missing field: name",
+                   (7, None): "malformed JSON", (8, None): "not an array"}
+
+
 def test_with_defaults(spark):
     df = spark.createDataFrame([(None,), ("r",)], "remark string")
     got = V.with_defaults(df, {"remark": "", "benchmark_name": ""}).collect()
