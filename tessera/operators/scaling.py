@@ -3,9 +3,8 @@
 Runs are tagged Strong_Scaling / Weak_Scaling / Worker_Sweep. Groups are few
 and each may hold a third of all runs, so nothing here partitions a window
 by the scaling group: the baseline of a group is found with a partial
-aggregate (``min_by``) whose one-row-per-group result is joined back; AQE
-turns that join into a broadcast from the measured (tiny) size, and the
-skew-join split covers the case where it does not.
+aggregate (``min_by``) whose one-row-per-group result is joined back, broadcast
+behind a check of its row count, else over salted keys.
 """
 
 from __future__ import annotations
@@ -61,23 +60,34 @@ def with_labels(df: DataFrame) -> DataFrame:
     })
 
 
+# Baselines of at most this many groups (one key and one number each) are broadcast.
+BROADCAST_GROUPS = 10_000
+SALTS = 64
+
+
 def speedup(df: DataFrame, group: Sequence[str], order: Sequence[str], value: str,
-            out: str = "speedup") -> DataFrame:
+            out: str = "speedup", broadcast_groups: int = BROADCAST_GROUPS) -> DataFrame:
     """value / value of the first row of its group in ``order`` (the smallest
     configuration present). NULL when the baseline is 0 or NULL.
 
-    ``order`` must end in a unique key so the baseline is deterministic.
-    With a multi-column order the ``min_by`` buffer holds a struct, so Spark
-    plans a sort-based partial aggregate (a local sort on the group key per
-    map task); the shuffle still carries one partial row per group and task.
+    ``order`` must end in a unique key so the baseline is deterministic. The
+    groups are counted first (a scan of the group columns; one partial row per group
+    and task reaches the shuffle). Up to ``broadcast_groups`` baselines are broadcast, so
+    the rows are not shuffled by a key that may have three values; more are
+    replicated over salts and joined with rows salted by a hash, so a hot group is split.
     """
     if not group:
         raise ValueError("speedup needs at least one group column")
     key = F.struct(*[F.col(c) for c in order])
     base = df.groupBy(*group).agg(F.min_by(F.col(value), key).alias("_baseline"))
-    return (df.join(base, list(group), "left")
-              .withColumn(out, F.try_divide(F.col(value).cast("double"), F.col("_baseline")))
-              .drop("_baseline"))
+    if df.select(*group).distinct().limit(broadcast_groups + 1).count() <= broadcast_groups:
+        joined = df.join(F.broadcast(base), list(group), "left")
+    else:
+        salted = df.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(SALTS)).cast("int"))
+        copies = base.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = salted.join(copies, [*group, "_salt"], "left").drop("_salt")
+    return (joined.withColumn(out, F.try_divide(F.col(value).cast("double"), F.col("_baseline")))
+                  .drop("_baseline"))
 
 
 def select_by_name(df: DataFrame, fixed: Iterable[str], prefixes: Iterable[str] = (),

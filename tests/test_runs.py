@@ -172,3 +172,11 @@ def test_take_fraction_is_exact_with_ties(spark):
 
     df = spark.range(1000).selectExpr("id % 10 AS k", "id")
     assert take_fraction(df, 0.25, ["k"]).count() == 250
+
+
+def test_speedup_broadcast_and_salted_agree(spark):
+    rows = [(g, k, float(k + 1)) for g in ("a", "b", "c") for k in range(20)] + [("z", 0, 0.0), (None, 1, 2.0)]
+    df = spark.createDataFrame(rows, "g string, k int, v double")
+    one, many = (SC.speedup(df, ["g"], ["k"], "v", broadcast_groups=n) for n in (10, 1))
+    assert sorted(map(tuple, one.collect()), key=repr) == sorted(map(tuple, many.collect()), key=repr)
+    assert {(r["g"], r["k"]): r["speedup"] for r in one.collect()}["b", 4] == 5.0
