@@ -454,7 +454,7 @@ def q_scan_articles(spark, sf_dir):
 
 
 @register("with_source", X.with_views(
-    "SELECT src, id, title, src || '-files' AS folder FROM articles", "articles"))
+    "SELECT src, id, title, text, src || '-files' AS folder FROM articles", "articles"))
 def q_with_source(spark, sf_dir):
     """Provenance: each source's rows written to its own folder, read back in
     one scan; the folder name comes from the file path of every row."""
@@ -464,7 +464,7 @@ def q_with_source(spark, sf_dir):
         CSV.write_csv(arts.filter(F.col("src") == src), f"{root}/{src}-files")
     read = CSV.read_with_source(spark, [f"{root}/doc-files", f"{root}/page-files"], ARTICLE_SCHEMA,
                                 options={"header": "true", "multiLine": "true", "escape": '"'})
-    return read.select("src", "id", "title",
+    return read.select("src", "id", "title", "text",
                        CSV.base_name(F.col("log_dir")).alias("folder"))
 
 

@@ -139,6 +139,28 @@ def read_with_source(spark: SparkSession, paths: str | Sequence[str],
     return with_source(reader.load(paths if isinstance(paths, str) else list(paths)))
 
 
+def read_intact_files(spark: SparkSession, paths: str | Sequence[str], schema: T.StructType | str,
+                      options: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows, rejected): the CSV rows, with ``source_file`` and ``log_dir``, of the files whose records all
+    fit the schema, and one row per other file (source_file, n_bad, record: its smallest bad record).
+
+    A file is kept or left out whole. Too few or too many fields and values of another type make a record
+    bad; a file that cannot be read at all (a broken archive, say) still fails the job. The report is
+    checkpointed at once (one row per rejected file), so the files are parsed twice in all.
+    """
+    fields = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    bad = "__bad_record"
+    reader = (spark.read.schema(T.StructType([*fields.fields, T.StructField(bad, T.StringType())]))
+              .options(**{**(options or {}), "mode": "PERMISSIVE", "columnNameOfCorruptRecord": bad, "columnPruning": "false"}))
+    raw = reader.csv(paths if isinstance(paths, str) else list(paths))
+    raw = raw.withColumns({"source_file": F.col("_metadata.file_path"), "log_dir": parent_dir(F.col("_metadata.file_path"))})
+    # Spark refuses a read of the bad-record column alone, so a data column goes along with it
+    first = F.min(F.struct(bad, fields.names[0]))
+    rejected = (raw.filter(F.col(bad).isNotNull()).groupBy("source_file")
+                .agg(F.count("*").alias("n_bad"), first[bad].alias("record")).checkpoint())
+    return raw.drop(bad).join(rejected.select("source_file"), "source_file", "left_anti"), rejected
+
+
 def run_record_columns(df: DataFrame) -> list[str]:
     """Writer field order: config columns, other columns, stage columns (stage-major), E2E columns."""
     from tessera.operators.stages import STAGE_METRICS

@@ -1,5 +1,11 @@
 """CSV sources and sinks."""
 
+import gzip
+import os
+
+import pytest
+from pyspark.sql import functions as F
+
 from tessera.sources import csv as CSV
 
 
@@ -47,3 +53,22 @@ def test_path_pieces(spark):
     df = spark.createDataFrame([("file:/a/b/SS-runs/part-0.csv",)], "p string")
     r = df.select(CSV.base_name(F.col("p")), CSV.parent_name(F.col("p")), CSV.parent_dir(F.col("p"))).first()
     assert tuple(r) == ("part-0.csv", "SS-runs", "file:/a/b/SS-runs")
+
+
+def test_files_with_a_bad_record_are_left_out_whole(spark, tmp_dir):
+    for name, lines in {"a": ["1,x", "2,y"], "b": ["3,x", "4,y,z", "5,w"], "c": ["six,x", "7,y"], "d": []}.items():
+        os.makedirs(f"{tmp_dir}/intact/{name}")
+        with open(f"{tmp_dir}/intact/{name}/results.csv", "w") as f:
+            f.write("\n".join(["id,tag", *lines]) + "\n")
+    rows, rejected = CSV.read_intact_files(spark, f"{tmp_dir}/intact/*", "id int, tag string", {"header": "true"})
+    assert sorted((r.id, r.tag, r.log_dir[-1]) for r in rows.collect()) == [(1, "x", "a"), (2, "y", "a")]
+    assert sorted((r.source_file.split("/")[-2], r.n_bad, r.record) for r in rejected.collect()) == [("b", 1, "4,y,z"), ("c", 1, "six,x")]
+
+
+def test_truncated_file_fails_the_read(spark, tmp_dir):
+    os.makedirs(f"{tmp_dir}/cut")
+    packed = gzip.compress("".join(f"{i},{i * i}\n" for i in range(20000)).encode())
+    with open(f"{tmp_dir}/cut/a.csv.gz", "wb") as f:
+        f.write(packed[:len(packed) // 2])
+    with pytest.raises(Exception, match="(?i)end of|EOF|FAILED_READ_FILE"):
+        CSV.read_with_source(spark, f"{tmp_dir}/cut", "id int, sq long").agg(F.sum("sq")).collect()
