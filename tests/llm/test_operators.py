@@ -332,6 +332,36 @@ def test_pii_query_columns_and_model(spark, empty):
     assert {r.text for r in pii.redacted(odd, model).collect()} >= {None, "", "<EMAIL>"}
 
 
+def test_pii_beyond_the_base_formats_is_added_and_redacted(spark):
+    rng = random.Random(6)
+    words = "under the old bridge seven small boats were lying still while people walked along river banks".split()
+
+    def card():
+        d = "4" + "".join(rng.choice("0123456789") for _ in range(14))
+        return d + next(c for c in "0123456789" if pii.luhn(d + c))
+
+    def line():
+        spans = [f"{rng.choice(words)}.{rng.randint(10, 99)}@mail{rng.randint(1, 9)}.example.com", ".".join(str(rng.randint(1, 255)) for _ in range(4)), card(),
+                 f"+{rng.randint(1, 99)} ({rng.randint(100, 999)}) 555-{rng.randint(1000, 9999)}", str(rng.randint(10**15, 10**16)), f"order {rng.randint(100, 999)} {rng.randint(10**4, 10**5)}"]
+        return " ".join(x for s in spans for x in [*rng.choices(words, k=6), s]) + " end"
+
+    model = pii.train(spark.createDataFrame([(line(),) for _ in range(60)], "text string"))
+    assert {"email", "ip", "card", "phone"} <= set(model.trees)
+    planted = [("email", "anna.berg (at) firma (dot) org"), ("email", "john(at)example.org"), ("ip", "10[.]20[.]30[.]40"), ("ip", "10.20.30[.]40"),
+               ("card", "4539.5787.6362.1486"), ("card", "4539  5787  6362  1486"), ("phone", "(017) 555-7713"), ("phone", "44 204 555 7713"), ("phone", "017.555.7713")]
+    rows = [(k, f"people walked {s} along the river") for k, (_, s) in enumerate(planted)] + [(90, "Phone: 030 123456789 or"), (91, "John (AT) example.org wrote")]
+    texts = spark.createDataFrame(rows, "doc_id long, text string")
+    for r in pii.find_spans(texts, model).collect():
+        assert r.base_spans == [] and len(r.spans) == 1, r
+        if r.doc_id < 90:
+            kind, s = planted[r.doc_id]
+            assert (r.spans[0].kind, r.text[r.spans[0].start:r.spans[0].end]) == (kind, s)
+    assert {r.doc_id: r.text for r in pii.redacted(texts, model).collect()} == {
+        **{k: f"people walked <{kind.upper()}> along the river" for k, (kind, _) in enumerate(planted)}, 90: "Phone: <PHONE> or", 91: "<EMAIL> wrote"}
+    for plain in ("on 2024-03-11 at", "sum of 12.345.678 is", "4539.5787.6362.1481 is no card", "version 300[.]1[.]2[.]3 of", "number 9807915762804490 here"):
+        assert model.spans(plain)[1] == [], plain
+
+
 def test_boosted_trees_learn_and_calibrate():
     import numpy as np
     rng = np.random.default_rng(0)
