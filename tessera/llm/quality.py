@@ -3,7 +3,9 @@
 Nulls and empty texts have no words: every count is 0 and the row fails the base
 rule. Each row is judged on its own, so repeated rows and ties need no rule. Columns
 are added under the given names; an input column of that name is replaced. Very long
-texts stay one row: counting is O(n log n) in the words of the row.
+texts stay one row: counting is O(n log n) in the words of the row. Stop words count in
+any case; their bound judges only rows whose ``lang`` the list covers (every row of a
+table without that column).
 """
 
 from __future__ import annotations
@@ -26,7 +28,10 @@ STOP_WORDS = (
     "der die das und ist von zu den dem mit ein eine nicht auf im sich des auch es an werden aus "
     "el los las del y un una que en por con para se su no es al lo como "
 ).split()
+#: As the SQL of this operator spells them.
 STOP_FORMS = [*STOP_WORDS, *(w.capitalize() for w in STOP_WORDS)]
+#: The languages of the list.
+STOP_LANGS = ("en", "fr", "de", "es")
 
 
 @dataclass(frozen=True)
@@ -64,7 +69,7 @@ def with_counts(df: DataFrame, text: str = "text") -> DataFrame:
         "word_chars": F.length(F.array_join(w, "")).cast("long"),
         "n_symbols": F.regexp_count(t, F.lit(f"[{SYMBOLS}]")).cast("long"),
         "__lines": F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")),
-        "n_stop_words": F.size(F.filter(w, lambda x: x.isin(STOP_FORMS))).cast("long"),
+        "n_stop_words": F.size(F.filter(w, lambda x: F.lower(x).isin(STOP_WORDS))).cast("long"),
         # enough low bits for any position in this text
         "__bits": F.ceil(F.log2(F.size(w) + F.lit(2))).cast("int"),
     })
@@ -89,11 +94,17 @@ def with_counts(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def with_ratios(df: DataFrame) -> DataFrame:
-    """Add the metrics that the threshold table speaks about (NULL without words or lines)."""
+    """Add the metrics that the threshold table speaks about (NULL without words or lines).
+
+    stop_word_ratio is NULL too where ``lang`` names no language of the list (or none at all).
+    """
     per_word = {"mean_word_chars": "word_chars", "symbol_ratio": "n_symbols",
                 "stop_word_ratio": "n_stop_words", "repeat_word_ratio": "n_repeat_words"}
-    return df.withColumns({k: F.try_divide(F.col(v), F.col("n_words")) for k, v in per_word.items()}
-                          | {"dup_line_ratio": F.try_divide(F.col("n_dup_lines"), F.col("n_lines"))})
+    ratios = {k: F.try_divide(F.col(v), F.col("n_words")) for k, v in per_word.items()}
+    if "lang" in df.columns:
+        covered = F.regexp_extract(F.lower("lang"), "^[a-z]+", 0).isin(*STOP_LANGS)
+        ratios["stop_word_ratio"] = F.when(covered, ratios["stop_word_ratio"])
+    return df.withColumns(ratios | {"dup_line_ratio": F.try_divide(F.col("n_dup_lines"), F.col("n_lines"))})
 
 
 def passes(thresholds: Sequence[Threshold]) -> Column:
@@ -118,5 +129,6 @@ def keep_quality(df: DataFrame, text: str = "text", **rules) -> DataFrame:
     A plain filter would be pushed below the projections that compute the counts and evaluate each
     of their nested expressions over and over; an exploded array of one or no element is not.
     """
-    judged = judge_quality(df.select(F.struct("*").alias("__row"), F.col(text).alias(text)), text, **rules)
+    lang = [F.col("lang")] if "lang" in df.columns and text != "lang" else []
+    judged = judge_quality(df.select(F.struct("*").alias("__row"), F.col(text).alias(text), *lang), text, **rules)
     return judged.select("__row", F.explode(F.when(F.col("kept"), F.array(F.lit(1)))).alias("__one")).select("__row.*")

@@ -144,6 +144,18 @@ def test_quality_counts(spark, docs, empty):
     assert quality.judge_quality(empty).count() == 0
 
 
+def test_stop_words_in_any_case_and_only_of_covered_languages(spark):
+    plain = " ".join(f"alpha{k} beta{k}" for k in range(40))
+    some = plain + " the of and"
+    rows = [(1, some, "en"), (2, some.upper(), "en"), (3, plain, "en"), (4, plain, "pl"), (5, plain, None), (6, plain, "DE-at"), (7, plain + " tHe Of aND", "fr"), (8, "a b", "pl")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    want = {1: True, 2: True, 3: False, 4: True, 5: True, 6: False, 7: True, 8: False}
+    assert {r.doc_id: r.kept for r in quality.judge_quality(docs).collect()} == want
+    kept = quality.keep_quality(docs)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {k for k, v in want.items() if v}
+    assert {r.doc_id for r in quality.keep_quality(docs.drop("lang")).collect()} == {1, 2, 7}
+
+
 # -- decontamination
 
 def test_decontamination_against_brute_force(spark, docs, empty):

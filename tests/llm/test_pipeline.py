@@ -49,3 +49,8 @@ def test_odd_rows_pass_through(spark):
     for _, stage in P.STAGES:
         assert stage(spark, none, SF001).count() == 0
     assert split(None) == []
+
+
+def test_quality_rules_keep_upper_case_text(spark):
+    long = " ".join(f"the word{k} of" for k in range(40)).upper()
+    assert [r.text for r in P.quality_rules(spark, frame(spark, [(4, long)]), SF001).collect()] == [long]
