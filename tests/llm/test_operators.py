@@ -96,6 +96,20 @@ def test_fast_encoder_equals_tokenizers():
         assert e(t).tolist() == e.slow.encode(t, add_special_tokens=False).ids
 
 
+def test_added_tokens_in_a_text_equal_a_fresh_tokenizer(spark):
+    from tokenizers import Tokenizer
+
+    path = catalog.tokenizer_path()
+    fresh, e = Tokenizer.from_file(path), packing.encoder(path)
+    assert e("a <|endoftext|> b").tolist() == [64, 220, 50256, 275]
+    rng = random.Random(8)
+    for _ in range(300):
+        t = "".join(rng.choice(["a", " b", "<|endoftext|>", "<|endoftext", "|>", "\n", "é", "漢", " "]) for _ in range(rng.randint(0, 20)))
+        assert e(t).tolist() == fresh.encode(t, add_special_tokens=False).ids, t
+    row, = packing.pack_documents(spark.createDataFrame([(1, "a <|endoftext|> b")], "doc_id long, text string"), path).collect()
+    assert struct.unpack("<5I", bytes(row.ids)) == (64, 220, 50256, 275, 1) and row.doc_tokens == 5
+
+
 def test_first_fit_decreasing_equals_a_plain_scan():
     sizes = sorted(random.Random(2).choices(range(1, 65), k=300), reverse=True)
     room, want = [], []
