@@ -42,21 +42,48 @@ IN_HEAD = frozenset("title meta link base script style noscript template".split(
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTR = re.compile(r"([^\s=\"'<>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-INVISIBLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+#: Elements of foreign content, where a closing slash closes, and the places in it that hold HTML again.
+FOREIGN = frozenset({"svg", "math"})
+HTML_INSIDE = frozenset("foreignobject desc title mi mo mn ms mtext annotation-xml".split())
+QUOTED_VALUE = re.compile(r"=\s*(?:\"[^\"]*\"|'[^']*')")
+#: Parts of a style: comments, quoted strings and brackets hold no boundary of a declaration.
+DECLARATION = re.compile(r"(?:[^;\"'(]|\"[^\"]*\"?|'[^']*'?|\([^)]*\)?)+")
+#: Values that count for the two properties that hide; a browser skips others.
+DISPLAYS = frozenset(("none block inline flow flow-root flex grid table ruby contents list-item inline-block inline-flex inline-grid inline-table "
+                      "table-row table-cell table-caption table-column table-row-group table-header-group table-footer-group table-column-group "
+                      "run-in ruby-base ruby-text -webkit-box -webkit-inline-box -webkit-flex -ms-flexbox math inherit initial unset revert").split())
+VISIBILITIES = frozenset("visible hidden collapse inherit initial unset revert".split())
 BLANKS = re.compile(r"[ \t\n\r\f]+")
 
 
 class Node:
-    __slots__ = ("children", "hidden", "name", "start")
+    __slots__ = ("children", "foreign", "hidden", "name", "start")
 
-    def __init__(self, name: str, hidden: bool = False, start: int = 1):
-        self.name, self.hidden, self.start, self.children = name, hidden, start, []
+    def __init__(self, name: str, hidden: bool = False, start: int = 1, foreign: bool = False):
+        self.name, self.hidden, self.start, self.foreign, self.children = name, hidden, start, foreign, []
 
 
 def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTR.finditer(raw)} if raw.strip(" /\n\t") else {}
 
 
+def _invisible(style: str) -> bool:
+    """Whether the declarations hide the element: the last valid one of a property counts, or the last important one."""
+    found: dict[str, tuple[bool, str]] = {}
+    for part in DECLARATION.findall(re.sub(r"/\*.*?(?:\*/|\Z)", " ", style, flags=re.S)):
+        name, _, value = part.partition(":")
+        name, (value, mark, _) = name.strip().lower(), value.lower().partition("!")
+        known = {"display": DISPLAYS, "visibility": VISIBILITIES}.get(name)
+        if known and value.split() and known.issuperset(value.split()) and (mark or not found.get(name, (False,))[0]):
+            found[name] = bool(mark), value.strip()
+    return found.get("display", (0, ""))[1] == "none" or found.get("visibility", (0, ""))[1] in ("hidden", "collapse")
+
+
+def _self_closed(raw: str) -> bool:
+    """Whether a tag with these attributes ends in a slash that is no part of an unquoted value."""
+    return raw.endswith("/") and not re.search(r"=\s*\S+\Z", QUOTED_VALUE.sub(" ", raw))
+
+
 def _close(stack: list[Node], names, scope) -> None:
     """Pop through the outermost open element among ``names`` above the nearest ``scope``."""
     found = None
@@ -99,10 +126,13 @@ def build_tree(page: str) -> Node:
         elif stack[-1].name == "head" and name not in IN_HEAD:
             stack.pop()  # content starts the body
         attrs = _attributes(m[3])
-        hidden = (name in HIDDEN or "hidden" in attrs or bool(INVISIBLE.search(attrs.get("style", "")))
+        hidden = (name in HIDDEN or "hidden" in attrs or _invisible(html.unescape(attrs.get("style", "")))
                   or name == "input" and attrs.get("type", "").lower() == "hidden")
-        node = Node(name, hidden, int(attrs["start"]) if attrs.get("start", "").isascii() and attrs.get("start", "").isdigit() else 1)
+        node = Node(name, hidden, int(attrs["start"]) if attrs.get("start", "").isascii() and attrs.get("start", "").isdigit() else 1,
+                    name in FOREIGN or stack[-1].foreign and stack[-1].name not in HTML_INSIDE)
         stack[-1].children.append(node)
+        if node.foreign and _self_closed(m[3]):
+            continue
         if name == "img" and attrs.get("alt"):
             node.children.append(html.unescape(attrs["alt"]))
         elif name in RAW:
@@ -110,7 +140,7 @@ def build_tree(page: str) -> Node:
             body = page[at:stop.start() if stop else end]
             node.children.append(html.unescape(body) if name in ("title", "textarea") else body)
             at = stop.end() if stop else end
-        elif name not in VOID:  # a slash on such an element means nothing in HTML
+        elif name not in VOID:  # a slash on such an element means nothing outside foreign content
             stack.append(node)
     if at < end:
         stack[-1].children.append(html.unescape(page[at:]))

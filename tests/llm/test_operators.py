@@ -310,6 +310,28 @@ def test_html_layout():
     assert html_text.html_to_text("1 < 2 <b")[1] == "1 < 2 <b"
 
 
+def test_html_styles_are_compared_by_whole_properties():
+    shown = ["-webkit-backface-visibility: hidden", "backface-visibility:hidden", "--display:none", "content:'display:none'", "background:url(a;display:none)",
+             "display:none; display:block", "/* display:none */color:red", "visibility:hidden; VISIBILITY: visible", "display:nonesuch", "color:red"]
+    gone = ["display:none", "color:red;DISPLAY : None ! important;display:block", "visibility: hidden", "visibility:collapse;", "display:none;display:nonesuch",
+            "content:';';display:none", "display&colon;none"]
+    for style in shown:
+        assert html_text.html_to_text(f'a<span style="{style}">text</span>b')[1] == "atextb", style
+    for style in gone:
+        assert html_text.html_to_text(f'a<span style="{style}">text</span>b')[1] == "ab", style
+
+
+def test_html_self_closed_foreign_elements():
+    text = lambda page: html_text.html_to_text(page)[1]
+    assert text("<div>a <svg class='x' href=\"y=z\"/>b<p>c</div>d") == "a b\n\nc\n\nd"
+    assert text("a<svg/>b<svg viewBox=1 />c") == "abc"
+    assert text("a<svg width=10/>hidden</svg>b") == "ab"
+    assert text("a<svg><title/><style/><g/><path d='M'/>no</svg>b") == "ab"
+    assert text("a<svg><svg/>no</svg>b<svg><foreignObject><div/>no</foreignObject>no</svg>c") == "abc"
+    assert text("a<math><mspace/><mi>x</mi><semantics hidden/><mo>+</mo></math><math/>b") == "ax+b"
+    assert text("<div hidden/>no</div>a<script/>no</script>b") == "ab"
+
+
 def test_html_keeps_all_visible_words(spark):
     pages = spark.read.parquet(f"{SF001}/pages.parquet")
     out = {r.page_id: r.text for r in html_text.extract_pages(pages.withColumn("text", F.lit("clash"))).collect()}
