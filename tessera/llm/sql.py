@@ -133,4 +133,50 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n.n, 0)::BIGINT AS n_removed,
 FROM d LEFT JOIN n USING (k) LEFT JOIN kept USING (k)
 """
 
-SQL = {"op8_substring_dedup": OP8, "op4_decontamination": OP4, "op5_minhash_dedup": OP5, "op2_url_filters": OP2, "op3_quality_rules": OP3, "op6_warc": OP6}
+#: CRC-32 as a fold over bytes; ``crc`` holds the table of the 256 byte values, made by its rule.
+_CRC_TABLE = """crc AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)),
+  lambda a, b: CASE WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS t)"""
+
+
+def _crc32(s: str) -> str:
+    return f"""xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(strlen({s})),
+      lambda i: ('0x' || substr(hex(encode({s})), 2 * i + 1, 2))::BIGINT)), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])))"""
+
+
+OP11 = rf"""
+WITH tok AS (SELECT row_number() OVER () AS k, doc_id, {_WORDS.format(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")} AS w FROM documents),
+d AS (SELECT k, doc_id, len(w)::BIGINT AS n FROM tok WHERE len(w) > 0),
+tf AS (SELECT k, t, count(*) AS tf FROM (SELECT k, unnest(w) AS t FROM tok) GROUP BY 1, 2),
+s AS (SELECT count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS l FROM d),
+wt AS (SELECT t, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM tf, s GROUP BY t, n_docs),
+q AS (SELECT item, item_id, t, count(*) AS qtf FROM (
+  SELECT row_number() OVER () AS item, item_id, unnest({_WORDS.format(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")}) AS t
+  FROM (SELECT DISTINCT item_id, text FROM benchmark)) GROUP BY 1, 2, 3),
+scored AS (
+  SELECT item, item_id, doc_id, k, sum(qtf * w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * n_docs) // l))))::BIGINT AS score
+  FROM q JOIN wt USING (t) JOIN tf USING (t) JOIN d USING (k), s GROUP BY 1, 2, 3, 4)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST, k) AS rank FROM scored WHERE score > 0) WHERE rank <= 10
+"""
+
+OP13 = rf"""
+WITH RECURSIVE {_CRC_TABLE},
+runs AS (SELECT doc, r, count(*) AS n FROM (
+  SELECT coalesce(doc_id::VARCHAR, '') AS doc, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS r FROM documents) GROUP BY 1, 2),
+hashed AS (SELECT r, n, {_crc32("(doc || ':' || r)")} AS h FROM runs, crc),
+w AS (SELECT CASE WHEN h % 199 = 0 THEN substr(r, 1, (h % length(r))::INT) || substr(r, (h % length(r))::INT + 2) ELSE r END AS w, sum(n)::BIGINT AS n FROM hashed GROUP BY 1),
+v AS MATERIALIZED (SELECT w, n FROM w WHERE length(w) >= 6 AND n >= 5),
+cut AS MATERIALIZED (SELECT w, n, i, substr(w, 1, i - 1) AS x, substr(w, i + 1) AS y FROM (SELECT w, n, unnest(generate_series(1, length(w))) AS i FROM v)),
+pairs AS (
+  SELECT a.w, b.w AS o, b.n FROM cut a JOIN cut b ON a.i = b.i AND a.x = b.x AND a.y = b.y AND a.w <> b.w
+  UNION SELECT v.w, cut.w, cut.n FROM v JOIN cut ON v.w = x || y
+  UNION SELECT cut.w, v.w, v.n FROM v JOIN cut ON v.w = x || y),
+best AS MATERIALIZED (SELECT w, count(*) AS n_near, max(n) AS top, min(o) FILTER (WHERE n = t) AS o FROM (SELECT *, max(n) OVER (PARTITION BY w) AS t FROM pairs) GROUP BY 1),
+f AS MATERIALIZED (SELECT v.w, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN top >= 5 * v.n THEN o END AS form, CASE WHEN top >= 5 * v.n THEN top END AS form_n FROM v LEFT JOIN best USING (w)),
+chain AS (SELECT w, w AS node FROM f UNION ALL SELECT chain.w, f.form FROM chain JOIN f ON chain.node = f.w WHERE f.form IS NOT NULL),
+ends AS (SELECT chain.w, node FROM chain JOIN f ON chain.node = f.w WHERE f.form IS NULL)
+SELECT f.w AS word, form, node AS root, n, n_near::BIGINT AS n_near, form_n FROM f JOIN ends USING (w)
+"""
+
+SQL = {"op11_ranked_search": OP11, "op13_spelling_variants": OP13, "op8_substring_dedup": OP8, "op4_decontamination": OP4, "op5_minhash_dedup": OP5, "op2_url_filters": OP2, "op3_quality_rules": OP3, "op6_warc": OP6}
