@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, discriminant, html_text, minmax, packing, pii, quality, spelling, substring_dedup, suffix_dedup, url_filter, warc
+from tessera.llm import decontaminate, discriminant, html_text, lexical, minmax, packing, pii, quality, spelling, substring_dedup, suffix_dedup, url_filter, warc
 from tessera.llm.common import ship_package
 from tessera.llm.sql import SQL
 from tessera.sources.tables import load_table
@@ -84,6 +84,10 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(_joined("base_spans"), 256).alias("base_sha256"), _joined("spans").alias("spans"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked_search(load_table(spark, sf_dir, "documents").select("doc_id", "text"), load_table(spark, sf_dir, "benchmark"))
+
+
 def op12_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return discriminant.score_quality(load_table(spark, sf_dir, "documents").select("doc_id", "text"), load_table(spark, sf_dir, "labels"))
 
@@ -102,5 +106,5 @@ def _shipped(build: Callable) -> Callable:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: _shipped(f) for f in (op1_packing, op2_url_filters, op3_quality_rules, op4_decontamination, op5_minhash_dedup, op6_warc,
-    op7_suffix_array_dedup, op8_substring_dedup, op9_html_extraction, op10_pii, op12_quality_classifier, op13_spelling_variants)}
+    op7_suffix_array_dedup, op8_substring_dedup, op9_html_extraction, op10_pii, op11_ranked_search, op12_quality_classifier, op13_spelling_variants)}
 ORACLE_SQL: dict[str, str] = {k: v for k, v in SQL.items() if k in QUERIES}
