@@ -6,13 +6,19 @@ signature values, each equal for two sets with a probability of their similarity
 values name buckets. Documents with the same words form one class; only its first document goes on.
 
 Within a bucket every member is compared with the bucket's first member, on full sets. Components are
-then formed, and only buckets whose remaining members lie in different components go on: in each further
-round a growing number of their members outside the bucket's largest component are compared with the
-members of other components, and leave the bucket. So every pair of a bucket that could join two
-components is compared, without pairs inside components. Before that, members leave whose sets cannot
-reach the similarity with any other open set (too many items of their own), and pairs go on only if bit
-maps of both sets leave room for the intersection they need; both bounds are exact. With 80 permutations and bands of 4, two sets
-of similarity 0.75 share no bucket with a probability of 2.5e-7 (less above it).
+then formed, and only buckets whose remaining members lie in different components go on. In each further round
+members outside the bucket's largest component, 64 times as many as before, are compared with the members of
+other components; a member's turn follows from its hash, the round and the bucket's size. After the last round all of
+them had it, so every pair of a bucket that could join two components was compared, without pairs inside components.
+Large buckets are dealt over several tasks, each with its part of the members and all members whose turn it is.
+Three exact bounds spare work: items that no other open set has are in no intersection, which bounds the sizes that
+a set's partners may have, and members leave whose bucket holds no such size; and pairs go on only if bit maps of
+both sets leave room for the intersection they need.
+
+With 80 permutations and bands of 4 (two minima and two maxima, of four permutations), two sets of similarity 0.75
+share no bucket with a probability of about 2.6e-7 (bands agree with a probability of 0.316, measured for 3 of 4, 9 of
+12 and 90 of 120 shared items; less above it). Sets of at most 11 items together are linked exactly: each also names
+the buckets of its subsets that lack up to two items.
 
 Null or empty texts have an empty set and are linked with nothing. Rows that repeat a doc_id belong
 together; a row with a null doc_id is linked with nothing, its component is null and it is kept.
@@ -60,14 +66,29 @@ def band_names(sets: list[np.ndarray], multipliers: np.ndarray, shifts: np.ndarr
         signature[2 * k] = np.minimum.reduceat(image, firsts)
         signature[2 * k + 1] = np.maximum.reduceat(image, firsts)
     bands = len(signature) // rows
-    # a band takes values of different permutations, the least dependent ones
     order = np.concatenate([np.arange(0, len(signature), 2), np.arange(1, len(signature), 2)])[:bands * rows].reshape(rows, bands)
     names = np.zeros((bands, len(sets)), np.uint64)
     for r in range(rows):
-        names = mix(names + mix(signature[order[r]]))
+        # maxima are shifted, so that a band takes values of different permutations
+        at = np.roll(order[r], -(7 * r - 1)) if 2 * r >= rows else order[r]
+        names = mix(names + mix(signature[at]))
     return mix(names + np.arange(1, bands + 1, dtype=np.uint64)[:, None]).T.copy()
 
 
+#: Two sets of at most so many items together differ in two items at most where they are similar (3 of 4).
+SMALL = 11
+
+
+def subset_names(items: np.ndarray) -> np.ndarray:
+    """Names of a small set's subsets that lack none, one or two of its items."""
+    parts = mix(items)
+    total = parts.sum(dtype=np.uint64)
+    i, j = np.triu_indices(len(parts), 1)
+    sums = np.concatenate([[total], total - parts, total - parts[i] - parts[j]])
+    sizes = np.concatenate([[len(parts)], np.full(len(parts), len(parts) - 1), np.full(len(i), len(parts) - 2)])
+    return np.unique(mix(sums[sizes > 0] + np.uint64(77)))
+
+
 def signed(docs: DataFrame, permutations: int, rows: int, width: int = 5, seed: int = 7) -> DataFrame:
     """(doc_id, class, n, bands): ``class`` is the digest of the lower-cased words, null without words."""
     rng = np.random.default_rng(seed)
@@ -81,7 +102,8 @@ def signed(docs: DataFrame, permutations: int, rows: int, width: int = 5, seed:
             for lo, hi in chunks(texts):
                 sets = shingle_sets(texts[lo:hi], width)
                 full = [s for s in sets if len(s)]
-                names = iter(band_names(full, multipliers, shifts, rows).view(np.int64).tolist() if full else [])
+                bands = band_names(full, multipliers, shifts, rows) if full else []
+                names = iter([np.concatenate([x, subset_names(f)] if len(f) <= SMALL else [x]).view(np.int64).tolist() for x, f in zip(bands, full)])
                 key = lambda t: hashlib.md5(b" ".join(t.translate(LOWER_BYTES).split()), usedforsecurity=False).digest()
                 out = [(d, key(t) if len(s) else None, len(s), next(names) if len(s) else None) for d, t, s in zip(ids[lo:hi], texts[lo:hi], sets)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
@@ -163,15 +185,26 @@ def set_facts(sets: DataFrame) -> DataFrame:
 
 
 def _mixed(open_members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members, with their component, of buckets whose members lie in several; ``largest`` is the bucket's most frequent one."""
-    at = open_members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    sizes = at.groupBy("bucket", "component").agg(F.count("*").alias("n_members"))
-    mixed = (sizes.groupBy("bucket").agg(F.max(F.struct("n_members", "component")).alias("top"), F.count("*").alias("parts"))
-             .where("parts > 1").select("bucket", F.col("top.component").alias("largest")))
-    return at.join(mixed, "bucket")
-
-
-def near_links(members: DataFrame, sets: DataFrame, percent: int = 75) -> tuple[DataFrame, DataFrame]:
+    """Members, with their component, of buckets whose members lie in several; ``largest`` is the bucket's most frequent
+    component and ``size`` its members. Where ``n`` and ``cap`` are known, members stay whose bucket holds a set of a
+    size within their cap that has room for theirs."""
+    at = open_members.drop("component", "largest", "size").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    bounded = "cap" in at.columns
+    extra = [F.min("n").alias("lo"), F.max("cap").alias("hi")] if bounded else []
+    outer = [F.min("lo").alias("lo"), F.max("hi").alias("hi")] if bounded else []
+    sizes = at.groupBy("bucket", "component").agg(F.count("*").alias("n_members"), *extra)
+    mixed = (sizes.groupBy("bucket").agg(F.max(F.struct("n_members", "component")).alias("top"), F.count("*").alias("parts"),
+                                         F.sum("n_members").alias("size"), *outer)
+             .where("parts > 1").select("bucket", F.col("top.component").alias("largest"), "size", *(["lo", "hi"] if bounded else [])))
+    out = at.join(mixed, "bucket")
+    return out.where("n <= hi and lo <= cap").drop("lo", "hi") if bounded else out
+
+
+#: Members of a bucket that one task compares.
+TASK_MEMBERS = 256
+
+
+def near_links(members: DataFrame, sets: DataFrame, percent: int = 75, centres_a_round: int = 64) -> tuple[DataFrame, DataFrame]:
     """(links, labels) that join all documents of ``members`` (bucket, node) with a link in some bucket."""
     centres = members.groupBy("bucket").agg(F.min("node").alias("centre"))
     rest = members.join(centres, "bucket").where("node <> centre")
@@ -181,35 +214,40 @@ def near_links(members: DataFrame, sets: DataFrame, percent: int = 75) -> tuple[
     at = written(_mixed(rest.select("bucket", "node"), labels).select("bucket", "node"), "open")
     if at.isEmpty():
         return links, labels
-    # two sets need an intersection of share * (sum of their sizes), and each a partner of percent of its own size;
-    # items that no other open set has are in no intersection
-    share = percent / (100 + percent)
+    # two sets need an intersection of percent / (100 + percent) of the sum of their sizes;
+    # items that no other open set has are in no intersection, so a partner is no larger than ``cap``
     facts = written(set_facts(sets.join(at.select("node").distinct(), "node", "left_semi")), "facts")
-    able = facts.where(100 * (F.col("n") - F.col("own")) >= percent * F.col("n"))
-    open_members, tried, step = written(at.join(able, "node"), "able"), pairs, 0
+    able = (facts.where(100 * (F.col("n") - F.col("own")) >= percent * F.col("n"))
+            .withColumn("cap", F.floor(((100 + percent) * (F.col("n") - F.col("own")) - percent * F.col("n")) / percent)))
     ones = lambda side: sum((F.bit_count(F.col(side + c)) for c in BITS), F.lit(0))
     both = sum((F.bit_count(F.col(c).bitwiseAND(F.col("c_" + c))) for c in BITS), F.lit(0))
-    most = F.least(both + F.least(F.col("n") - F.col("ones"), F.col("c_n") - F.col("c_ones")),
-                   F.col("n") - F.col("own"), F.col("c_n") - F.col("c_own"))
+    most = both + F.least(F.col("n") - F.col("ones"), F.col("c_n") - F.col("c_ones"))
+    near = ((F.col("component") != F.col("c_component")) & (F.col("c_n") <= F.col("cap")) & (F.col("n") <= F.col("c_cap"))
+            & ((100 + percent) * most >= percent * (F.col("n") + F.col("c_n"))))
+    at, tried, turn = at.join(able.withColumn("ones", ones("")), "node"), pairs, centres_a_round
+    facts_of = ("component", "n", "cap", "ones", *BITS)
     while True:
-        at = written(_mixed(open_members, labels).withColumn("ones", ones("")), "open")
-        if at.isEmpty():
+        at = written(_mixed(at, labels), "open")
+        largest_bucket = at.agg(F.max("size")).first()[0]
+        if largest_bucket is None:
             return links, labels
-        slot = F.pmod(F.xxhash64("node", F.lit(step)), F.lit(64 ** min(step + 1, 5)))
-        chosen = written(at.where("component <> largest").groupBy("bucket", slot.alias("slot")).agg(F.min("node").alias("node"))
-                         .select("bucket", "node"), "centres")
-        centre = at.join(chosen, ["bucket", "node"]).select("bucket", *(F.col(c).alias("c_" + c) for c in ("node", "component", "n", "own", "ones", *BITS)))
-        near = (F.col("component") != F.col("c_component")) & (most >= share * (F.col("n") + F.col("c_n")) - 1e-6)
-        pairs = (at.join(centre, (at["bucket"] == centre["bucket"]) & near).select(*_ordered("node", "c_node")).distinct()
-                 .join(tried, ["a", "b"], "left_anti"))
+        tasks = F.ceil(F.col("size") / TASK_MEMBERS)
+        its_turn = F.pmod(F.xxhash64("node"), F.lit(1 << 30)) * F.col("size") < turn * (1 << 30)
+        centre = (at.where((F.col("component") != F.col("largest")) & its_turn)
+                  .select(F.col("bucket").alias("c_bucket"), F.explode(F.sequence(F.lit(0).cast("long"), tasks - 1)).alias("c_part"),
+                          F.col("node").alias("c_node"), *(F.col(c).alias("c_" + c) for c in facts_of)))
+        dealt = at.withColumn("part", F.pmod(F.xxhash64("node", F.lit(1)), tasks))
+        pairs = (dealt.join(centre, (F.col("bucket") == F.col("c_bucket")) & (F.col("part") == F.col("c_part")) & near)
+                 .select(*_ordered("node", "c_node")).distinct().join(tried, ["a", "b"], "left_anti"))
         pairs = written(pairs, "pairs")
         more = written(confirmed(pairs, sets, percent), "links")
         if not more.isEmpty():
             links = links.unionByName(more)
             labels = connected_components(links)
+        if largest_bucket <= turn:
+            return links, labels
         tried = tried.unionByName(pairs)
-        open_members = at.select("bucket", "node", "n", "own", *BITS).join(chosen, ["bucket", "node"], "left_anti")
-        step += 1
+        turn *= centres_a_round
 
 
 def near_duplicates(docs: DataFrame, permutations: int = 80, rows: int = 4, percent: int = 75, width: int = 5) -> DataFrame:

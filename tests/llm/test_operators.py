@@ -421,3 +421,68 @@ def test_boosted_trees_learn_and_calibrate():
     t = boosting.calibrated_threshold(p, y[400:], 0.98)
     assert y[400:][p >= t].mean() >= 0.98
     assert boosting.calibrated_threshold(p, np.zeros(200), 0.98) is None
+
+
+# -- near-duplicates: large groups, small sets, independence of a band
+
+def near_classes(texts, width=5, percent=75):
+    """Component of every text by brute force over all pairs."""
+    sets = []
+    for t in texts:
+        w = split(t, lower=True)
+        sets.append({tuple(w[k:k + width]) for k in range(max(1, len(w) - width + 1))} if w else set())
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        shared = len(sets[a] & sets[b])
+        if shared and 100 * shared >= percent * (len(sets[a]) + len(sets[b]) - shared):
+            a, b = sorted((find(a), find(b)))
+            root[b] = a
+    return [find(k) for k in range(len(texts))]
+
+
+def test_a_thousand_copies_around_the_bound(spark):
+    rng = random.Random(11)
+    base = [f"b{k}" for k in range(120)]
+    texts = []
+    for k in range(1000):
+        w = list(base)
+        for _ in range(rng.choice([1, 2, 3, 4, 4, 4, 4, 4])):
+            w[rng.randrange(120)] = f"x{rng.randrange(10 ** 6)}" if rng.random() < 0.8 else "same"
+        texts.append(" ".join(w[:rng.choice([120, 120, 120, 104])]))
+    got = {r.doc_id: r.component_id for r in minmax.near_duplicates(frame(spark, list(enumerate(texts)))).collect()}
+    assert [got[k] for k in range(1000)] == near_classes(texts)
+
+
+def test_small_sets_are_linked_exactly(spark):
+    rng = random.Random(12)
+    texts = []
+    for _ in range(60):
+        w = [f"v{rng.randrange(10 ** 5)}" for _ in range(rng.randint(6, 15))]
+        texts += [" ".join(w), " ".join(w[1:]), " ".join([*w, "tail"]), " ".join(["head", *w[1:]]), " ".join(w[:-2])]
+    got = {r.doc_id: r.component_id for r in minmax.near_duplicates(frame(spark, list(enumerate(texts))), permutations=2).collect()}
+    small = [k for k, t in enumerate(texts) if len(t.split()) <= 12]
+    want = near_classes([texts[k] for k in small])
+    for a, b in itertools.combinations(range(len(small)), 2):
+        if want[a] == want[b]:
+            assert got[small[a]] == got[small[b]], (texts[small[a]], texts[small[b]])
+
+
+def test_a_band_draws_from_four_permutations():
+    rng = random.Random(13)
+    import numpy as np
+    m = np.random.default_rng(7).integers(0, 2**63, 80, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    s = np.random.default_rng(8).integers(0, 2**63, 80, dtype=np.uint64)
+    left, right = [], []
+    for _ in range(600):
+        x = [rng.getrandbits(63) for _ in range(40)]
+        left.append(np.array(x[:35], np.uint64))
+        right.append(np.array(x[:30] + x[35:], np.uint64))
+    agree = minmax.band_names(left, m, s, 4) == minmax.band_names(right, m, s, 4)
+    assert 0.29 < agree.mean() < 0.34  # 0.75 ** 4 = 0.316
