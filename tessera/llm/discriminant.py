@@ -6,8 +6,8 @@ labelled training rows; the class covariances are shrunk towards the pooled one,
 keeps them invertible with few rows of a class. Their Cholesky factors are computed once on the driver (a matrix of
 the statistics' number squared, whatever the corpus) and travel to the tasks, where the score is the difference of the
 two log densities (squared Mahalanobis distances and log determinants) plus the log prior, mapped to 0..1 by a
-logistic curve. The curve is fitted on at most ``calibration_rows`` training rows, those with the smallest hash of the
-doc_id; each gets its difference from a model of the other folds (crc32 mod 5), so none is judged by itself.
+logistic curve. The curve is fitted on at most ``calibration_rows`` training rows, those with the smallest hash
+of doc_id and vector; each gets its difference from a model of the other folds (crc32 mod 5), so none is judged by itself.
 
 Held out, and never used to learn, are rows with crc32(doc_id as text) mod 5 = 0. Null and empty texts have the
 statistics of an empty text and a score like any other. A row with a null doc_id is scored and not held out. A
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import LOWER_BYTES, written
+from tessera.llm.common import LOWER_BYTES, first_by_hash, written
 
 _ALL = bytes(range(256))
 
@@ -218,7 +218,7 @@ def train(rows: DataFrame, pooled_share: float = 0.5, diagonal_share: float = 0.
         n, ones = sum(s[0] for s in both.values()), both.get(1, (0,))[0]
         return Constant((ones + 1) / (n + 2))
     model = discriminant(both, pooled_share, diagonal_share)
-    seen = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "x").limit(calibration_rows).select("fold", "y", "x").collect()
+    seen = first_by_hash(rows, ["doc_id", "x"], calibration_rows).collect()
     d, y = [], []
     for f in sorted({r.fold for r in seen}):
         others = merged(sums, f)

@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.boosting import BoostedTrees, calibrated_threshold, fit_boosted_trees
+from tessera.llm.common import first_by_hash
 
 Span = tuple[str, int, int]
 KINDS = ("email", "ip", "card", "phone", "secret")
@@ -88,7 +89,7 @@ def base_spans(text: str) -> list[Span]:
     """Spans (kind, start, end) in code points, by kind as listed, then start."""
     out = list(emails(text))
     if DIGIT.search(text):
-        out += [("ip", *m.span()) for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+        out += [("ip", *m.span()) for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split("."))]
         out += [("card", *m.span()) for m in CARD.finditer(text) if 13 <= len(d := digits_of(m[0])) <= 19 and luhn(d)]
         out += [("phone", *m.span()) for m in PHONE.finditer(text) if 9 <= len(digits_of(m[0])) <= 15]
     return out
@@ -149,7 +150,7 @@ def rewritten(kind: str, s: str, words: list[str]) -> list[tuple[str, bool]]:
                 for at, dot in ((" (at) ", " (dot) "), ("(at)", "."), (" [at] ", "[dot]"), (" (at) ", "."))
                 ] + [(f"{a} (at) {b}.{c}", False) for a, b, c in zip(words, words[1:], ends)][:8]
     if kind == "ip":
-        g = s.split(".")
+        g = [x.lstrip("0") or "0" for x in s.split(".")]
         wrong = [[*g, "7"], *([*g[:k], str(int(g[k]) + 256), *g[k + 1:]] for k in range(4))]
         return [(sep.join(x), x is g) for x in (g, *wrong) for sep in ("[.]", "(.)", "[dot]", " (dot) ")] + [(f"{'.'.join(g[:3])}[.]{g[3]}", True)]
     if kind == "card":
@@ -231,14 +232,14 @@ class SpanModel:
 
 
 def train(docs: DataFrame, sample_docs: int = 3000, per_kind: int = 4000, precision: float = 0.98) -> SpanModel:
-    """Fit on the candidates of ``sample_docs`` documents at most, the first by a hash of their text.
+    """Fit on the candidates of ``sample_docs`` distinct texts at most, the first by a hash of their text.
 
     Only documents with a digit or an @ can hold candidates worth learning from, so the sample is
-    drawn from those; at most ``per_kind`` candidates of a kind are used. Both bounds keep the
+    drawn from those, and of those of at most 20,000 characters (longer texts are searched like any other, but
+    teach nothing); at most ``per_kind`` candidates of a kind are used. Both bounds keep the
     training set on the driver small at any input size; thresholds come from the held-out third.
     """
-    rows = (docs.select("text").where(F.col("text").rlike("[0-9@]")).where(F.length("text") <= 20_000)
-            .select("text", F.xxhash64("text").alias("h")).orderBy("h", "text").limit(sample_docs).collect())
+    rows = first_by_hash(docs.select("text").where(F.length("text") <= 20_000).where(F.col("text").rlike("[0-9@]")), ["text"], sample_docs).collect()
     shapes = {group_sizes(copy) for row in rows for kind, start, end in base_spans(row.text) if kind == "phone"
               for copy, label in rewritten(kind, row.text[start:end], []) if label}
     data: dict[str, list[tuple[list[float], bool, int]]] = {k: [] for k in KINDS}
