@@ -23,16 +23,15 @@ toks AS (
 marked AS (
   SELECT doc_id AS page_id, bool_or(quality = 0 OR toxic = 1) AS bad FROM labels
   WHERE quality IS NOT NULL OR toxic IS NOT NULL GROUP BY 1),
-known AS (SELECT row_number() OVER () AS k, coalesce(bad, false) AS bad, tokens FROM toks JOIN marked USING (page_id) WHERE len(tokens) > 0),
-tok AS (SELECT k, bad, unnest(tokens) AS t FROM known),
-sets AS (
-  SELECT k, bad, [t] AS s FROM tok
-  UNION ALL SELECT a.k, a.bad, [a.t, b.t] FROM tok a JOIN tok b ON a.k = b.k AND a.t < b.t
-  UNION ALL SELECT a.k, a.bad, [a.t, b.t, c.t] FROM tok a JOIN tok b ON a.k = b.k AND a.t < b.t JOIN tok c ON a.k = c.k AND b.t < c.t),
-total AS (SELECT count(*) AS n FROM known),
-rules AS (
-  SELECT s FROM sets, total GROUP BY s, n
-  HAVING sum(bad::INT) >= ceil(0.02 * n) AND sum(bad::INT)::DOUBLE / count(*) >= 0.5),
+known AS MATERIALIZED (SELECT row_number() OVER () AS k, coalesce(bad, false) AS bad, tokens FROM toks JOIN marked USING (page_id) WHERE len(tokens) > 0),
+place AS (SELECT k, unnest(tokens) AS t FROM known WHERE bad),
+common AS (SELECT t, count(*) AS n FROM place GROUP BY t HAVING count(*) >= 3),
+items AS (SELECT k, list_slice(list(t ORDER BY n DESC, t), 1, 12) AS i FROM place JOIN common USING (t) GROUP BY k),
+subsets AS (
+  SELECT k, list_sort(list_filter(list_transform(range(len(i)), lambda p: CASE WHEN (m >> p) & 1 = 1 THEN i[p + 1] END), lambda x: x IS NOT NULL)) AS s
+  FROM (SELECT k, i, unnest(range(1, 1 << len(i))) AS m FROM items)),
+mined AS MATERIALIZED (SELECT s FROM subsets GROUP BY s HAVING count(*) >= 3),
+rules AS (SELECT s FROM mined JOIN known ON list_has_all(tokens, s) GROUP BY s HAVING sum(bad::INT) >= 0.5 * count(*)),
 hits AS (SELECT DISTINCT url FROM toks JOIN rules ON list_has_all(tokens, s)),
 fits AS (
   SELECT *, CASE

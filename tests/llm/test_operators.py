@@ -130,7 +130,7 @@ def test_urls(spark):
                                    (6, "http://bad.net/spam/1"), (7, "http://bad.net/spam/2"), (8, "http://ok.net/a?q=1"), (6, "http://bad.net/spam/1"),
                                    (9, "http://x.org"), (None, "http://bad.net/spam/3")], "page_id long, url string")
     labels = spark.createDataFrame([(6, 0, 0), (7, 1, 1), (8, 1, 0), (2, 1, 0), (5, None, None), (None, 0, 0)], "doc_id long, quality int, toxic int")
-    out = url_filter.judge_urls(pages, labels, catalog.URL_RULES, min_support=0.3, min_confidence=0.9).collect()
+    out = url_filter.judge_urls(pages, labels, catalog.URL_RULES, min_bad=2, min_confidence=0.9).collect()
     assert Counter((r.page_id, r.host, r.path, r.rule, r.verdict) for r in out) == Counter([
         (1, "a.example.org", "/es/1", "example.org/es/", "block"), (2, "x.org", "/en", "org/", "allow"), (3, "b.com", "/fr/1", "com/fr/", "allow"),
         (4, "", "", None, "allow"), (5, "", "", None, "allow"), (6, "bad.net", "/spam/1", None, "block"), (6, "bad.net", "/spam/1", None, "block"),
