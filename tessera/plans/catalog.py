@@ -497,6 +497,41 @@ def q_classify_runs(spark, sf_dir):
                        CSV.base_name(F.col("log_dir")).alias("log_name"))
 
 
+def _cut_short(spark, folder: str) -> None:
+    """Replace the one file of a folder by its first half, by Hadoop's file system wherever the folder lies."""
+    hadoop = spark._jvm.org.apache.hadoop
+    path, whole = hadoop.fs.Path(folder), hadoop.fs.Path(folder + "/whole")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    status = next(s for s in fs.listStatus(path) if s.getPath().getName().startswith("part-"))
+    fs.rename(status.getPath(), whole)
+    half = spark._jvm.org.apache.commons.io.input.BoundedInputStream(fs.open(whole), status.getLen() // 2)
+    hadoop.io.IOUtils.copyBytes(half, fs.create(status.getPath()), 1 << 16, True)
+
+
+@register("read_or_report", """
+SELECT 'orders' AS folder, o_orderkey AS id, o_orderstatus AS tag, o_totalprice AS amount, NULL AS reason FROM orders
+UNION ALL SELECT 'nations', NULL, NULL, NULL, 'broken archive' UNION ALL SELECT 'customers', NULL, NULL, NULL, 'unexpected header'
+UNION ALL SELECT 'suppliers', NULL, NULL, NULL, 'value of another type'""")
+def q_read_or_report(spark, sf_dir):
+    """Orders, customers, suppliers and nations written as packed CSV: the orders fit, the customers have another header,
+    the suppliers words for numbers, and the nations' file is cut short. The rows of the good files and a report of the others."""
+    from tessera.sources.quarantine import read_or_report
+    from tessera.sources.tables import load_table
+
+    root = shared_path(spark, "results")
+    table = lambda name, *cols: load_table(spark, sf_dir, name).selectExpr(*cols)
+    for folder, df in (("orders", table("orders", "o_orderkey id", "o_orderstatus tag", "o_totalprice amount")),
+                       ("customers", table("customer", "c_custkey id", "c_name label", "c_acctbal amount")),
+                       ("suppliers", table("supplier", "s_suppkey id", "s_name tag", "s_name amount")),
+                       ("nations", table("nation", "n_nationkey id", "n_name tag", "n_regionkey amount").coalesce(1))):
+        df.write.option("header", True).option("compression", "gzip").csv(f"{root}/{folder}")
+    _cut_short(spark, f"{root}/nations")
+    rows, rejected = read_or_report(spark, root, "id bigint, tag string, amount double")
+    folder = CSV.base_name(F.col("log_dir")).alias("folder")
+    return rows.select(folder, "id", "tag", "amount", F.lit(None).cast("string").alias("reason")).unionByName(
+        rejected.select(folder, "reason").distinct(), allowMissingColumns=True)
+
+
 @register("summary_export", _summary_sql(_sql_r6(_SUMMARY_COLS)))
 def q_summary_export(spark, sf_dir):
     """Processed summary exported as sorted CSV and read back."""

@@ -7,7 +7,8 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tessera.operators.scaling import scaling_type_from_name
-from tessera.operators.shaping import union_ragged
+from tessera.session import written
+from tessera.sources.records import read_records
 
 
 def read_articles(spark: SparkSession, path: str | Sequence[str],
@@ -17,13 +18,17 @@ def read_articles(spark: SparkSession, path: str | Sequence[str],
     Default (``strict=False``) uses Spark's default CSV options, as a plain
     ``spark.read.csv(header=True)`` does: a quoted newline ends the record
     and doubled quotes stay raw. ``strict=True`` reads RFC-4180 CSV
-    (multi-line quoted fields, ``""`` as the quote escape).
-    Without a schema the types are inferred (one extra pass over the files).
+    (multi-line quoted fields, ``""`` as the quote escape) with as many tasks
+    as the files have blocks (``sources.records``).
+    Without a schema the types are inferred: one extra pass over the files, which
+    for strict reading takes one task a file.
     """
     reader = spark.read.option("header", True)
-    reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
     if strict:
-        reader = reader.option("multiLine", True).option("escape", '"')
+        if schema is None:
+            schema = reader.option("inferSchema", True).option("multiLine", True).option("escape", '"').csv(path).schema
+        return read_records(spark, path, schema)
+    reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
     return reader.csv(path)
 
 
@@ -53,14 +58,14 @@ RUN_CONFIG_COLUMNS = ["num_workers", "mem_per_worker", "cores_per_worker", "data
 # ---------------------------------------------------------------------------
 
 
-def run_schema(header: str) -> T.StructType:
-    """Schema of a run-record file from its header line."""
-    names = [h.strip().strip('"') for h in header.split(",")]
-    return T.StructType([T.StructField(n, RUN_COLUMN_TYPES.get(n, T.DoubleType())) for n in names])
+def run_names(header: str) -> list[str]:
+    """Column names of a run-record file from its header line."""
+    return [h.strip().strip('"') for h in header.split(",")]
 
 
-def _ddl(schema: T.StructType) -> str:
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+def _union_names(headers: Iterable[str]) -> list[str]:
+    """Names of all layouts, as a union by name orders them."""
+    return list(dict.fromkeys(n for h in headers for n in run_names(h)))
 
 
 # Path pieces by plain string search: an unanchored regex such as
@@ -82,16 +87,17 @@ def parent_dir(path: Column) -> Column:
 
 
 def read_runs(spark: SparkSession, paths: str | Sequence[str], classify_by: str = "file") -> DataFrame:
-    """Read run-record CSV files whose column sets differ (ragged) into one frame.
+    """Read run-record CSV files whose column sets differ (ragged) into one frame, in two text scans.
 
-    A single CSV read would apply the first file's header to every file, so
-    rows are parsed with the header of their own file, its first non-empty
+    A single CSV read would apply the first file's header to every file. Here
+    the first scan takes each file's header, its first non-empty
     line whatever its first field: the line of the file's first block with the
-    smallest row position. Headers are joined back to the data lines on the
-    file path, and each distinct layout (one per stage count) is parsed with
-    one ``from_csv``; only the distinct header strings reach the driver. The
-    per-layout branches are unioned by column name (missing columns NULL).
-    Records are single-line CSV (quoted commas are fine).
+    smallest row position. The distinct headers (one per stage count) make a
+    dictionary: for every column of the result its position in that layout.
+    The second scan parses every data line once into positional fields, and each
+    column picks its field by the position its file's header gives; columns that
+    a layout lacks are NULL. Neither the scans nor the plan grow with the number
+    of layouts. Records are single-line CSV (quoted commas are fine).
 
     Adds ``source_file``, ``log_dir`` (parent folder) and ``scaling_type``
     from the base name (``classify_by="file"``) or the parent folder name
@@ -102,24 +108,25 @@ def read_runs(spark: SparkSession, paths: str | Sequence[str], classify_by: str
              .select("value", F.col("_metadata.file_path").alias("source_file"),
                      F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__row"))
              .filter(F.length("value") > 0))
-    heads = (lines.filter("__block = 0").groupBy("source_file")
-             .agg(F.min_by("value", "__row").alias("header"), F.min("__row").alias("__head")))
-    body = lines.join(heads, "source_file").filter((F.col("__block") > 0) | (F.col("__row") > F.col("__head")))
-    layouts = [r["header"] for r in heads.select("header").distinct().collect()]
-    frames = []
-    for header in sorted(layouts):
-        schema = run_schema(header)
-        frames.append(body.filter(F.col("header") == header)
-                      .select(F.from_csv("value", _ddl(schema), {"escape": '"'}).alias("r"), "source_file")
-                      .select("r.*", "source_file"))
-    out = union_ragged(frames, spark)
-    if not frames:
-        return out
+    # one row per file, kept in the shared folder, so the dictionary and the join below share one scan
+    heads = written(lines.filter("__block = 0").groupBy("source_file")
+                    .agg(F.min_by("value", "__row").alias("header"), F.min("__row").alias("__head")), "run-headers")
+    layouts = sorted(r["header"] for r in heads.select("header").distinct().collect())
+    if not layouts:
+        return spark.createDataFrame([], T.StructType([]))
+    names = _union_names(layouts)
+    width = max(len(run_names(h)) for h in layouts)
+    places = [(h, [run_names(h).index(n) if n in run_names(h) else -1 for n in names]) for h in layouts]
+    positions = spark.createDataFrame(places, "header string, __at array<int>")
+    files = heads.join(positions, "header").select("source_file", "__head", "__at")
+    body = lines.join(files, "source_file").filter((F.col("__block") > 0) | (F.col("__row") > F.col("__head")))
+    fields = F.from_csv("value", ", ".join(f"f{k} string" for k in range(width)), {"escape": '"'})
+    parsed = body.select("source_file", "__at", fields.alias("__f")).select(
+        "source_file", "__at", F.array(*[F.col(f"__f.f{k}") for k in range(width)]).alias("__v"))
     name = base_name(F.col("source_file")) if classify_by == "file" else parent_name(F.col("source_file"))
-    return out.withColumns({
-        "log_dir": parent_dir(F.col("source_file")),
-        "scaling_type": scaling_type_from_name(name),
-    })
+    return parsed.select(
+        *[F.get("__v", F.get("__at", F.lit(k))).try_cast(RUN_COLUMN_TYPES.get(n, T.DoubleType())).alias(n) for k, n in enumerate(names)],
+        "source_file", parent_dir(F.col("source_file")).alias("log_dir"), scaling_type_from_name(name).alias("scaling_type"))
 
 
 def with_source(df: DataFrame, out: str = "log_dir") -> DataFrame:
