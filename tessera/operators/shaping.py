@@ -1,10 +1,10 @@
-"""Data-set shaping: ragged union, replication, counting, exact scale-down."""
+"""Data-set shaping: ragged union, replication, counting, exact and approximate scale-down."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 
 def union_ragged(dfs: Sequence[DataFrame], spark: SparkSession | None = None) -> DataFrame:
@@ -41,47 +41,74 @@ def count_rows(df: DataFrame, name: str = "num_rows") -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias(name))
 
 
-# Target size of one range partition when sizing from statistics.
-RANGE_PARTITION_BYTES = 128 * 1024 * 1024
-
+def _sort_key(key: Sequence[str]):
+    return F.struct(*[F.col(c) for c in key])
 
-def estimated_bytes(df: DataFrame) -> int:
-    """Optimizer size estimate of ``df`` (planning only: nothing is executed,
-    unlike ``df.rdd``, which would materialise the shuffle stages of an
-    adaptive plan)."""
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(size if isinstance(size, int) else size.toString())
 
+def _key_literal(df: DataFrame, key: Sequence[str], value) -> Column:
+    return F.struct(*[F.lit(value[i]).cast(df.schema[c].dataType).alias(c) for i, c in enumerate(key)])
 
-def range_partitions(df: DataFrame, partitions: int | None = None) -> int:
-    """Number of range partitions for a key sort: explicit, else one per
-    ~128 MiB of the (estimated) data to be range-partitioned, at least the
-    default parallelism. Each range stays bounded however large the input
-    grows, and a small input does not fan out into near-empty tasks."""
-    if partitions:
-        return partitions
-    pieces = -(-estimated_bytes(df) // RANGE_PARTITION_BYTES)
-    return int(max(df.sparkSession.sparkContext.defaultParallelism, pieces))
 
+#: Rows whose keys one task may rank, sampled keys of a sketch, and sub-ranges that one pass counts.
+TASK_KEYS, SKETCH_KEYS, SUB_RANGES = 1_000_000, 100_000, 255
 
-def _sort_key(key: Sequence[str]):
-    return F.struct(*[F.col(c) for c in key])
 
+def nth_key(df: DataFrame, key: Sequence[str], n: int, total: int, task_keys: int = TASK_KEYS, sketch_keys: int = SKETCH_KEYS) -> tuple:
+    """(key, rows with it, how many of them belong to the first ``n``) of the ``n``-th of ``total`` rows in key order.
 
-def take_fraction(df: DataFrame, scale: float, key: Sequence[str],
-                  partitions: int | None = None) -> DataFrame:
+    No sort or shuffle of all keys. A row sample of about ``sketch_keys`` keys is a quantile sketch: its points around
+    the wanted quantile (5 standard errors to either side) bracket the key. One pass then counts the rows below the
+    bracket, in each of its sub-ranges and on each of its points, a row of counts per task. So the rows that can hold
+    the key shrink to a sub-range, about 1/16,000 of them, or to a point, which ends it (many ties). Once at most
+    ``task_keys`` rows are left, their keys are counted and ranked. A poor sample costs a further pass, never the result.
+    """
+    k = _sort_key(key)
+    inside, rank, size, seed = df.select(k.alias("__k")), n, total, 0
+    while size > task_keys:
+        seed += 1
+        points = sorted_keys(inside.sample(min(1.0, sketch_keys / size), seed))
+        at, spread_of = rank / size * len(points), 5 * max(1.0, len(points) * rank / size * (1 - rank / size)) ** 0.5
+        near = points[max(0, int(at - spread_of)):int(at + spread_of) + 1]
+        step = max(1, -(-len(near) // SUB_RANGES))
+        edges = list(dict.fromkeys(near[::step]))
+        literal = [_key_literal(df, key, e) for e in edges]
+        if not edges:
+            continue
+        # 2 * i: strictly between edge i - 1 and edge i; 2 * i + 1: on edge i
+        below = F.size(F.filter(F.array(*literal), lambda e: e < F.col("__k")))
+        part = (F.when(F.col("__k") < literal[0], 0).when(F.col("__k") > literal[-1], 2 * len(edges))
+                .otherwise(2 * below + F.exists(F.array(*literal), lambda e: e == F.col("__k")).cast("int")))
+        counts = {r[0]: r[1] for r in inside.groupBy(part.alias("p")).agg(F.count("*")).collect()}
+        for p in sorted(counts):
+            if counts[p] >= rank:
+                break
+            rank -= counts[p]
+        i = p // 2
+        if p % 2:
+            return edges[i], counts[p], rank
+        if i > 0:
+            inside = inside.where(F.col("__k") > literal[i - 1])
+        if i < len(edges):
+            inside = inside.where(F.col("__k") < literal[i])
+        size = counts[p]
+    # at most ``task_keys`` rows: ranked by a running count over their distinct keys
+    counted = inside.groupBy("__k").agg(F.count("*").alias("n"))
+    ranked = counted.withColumn("upto", F.sum("n").over(Window.orderBy("__k").rowsBetween(Window.unboundedPreceding, 0)))
+    row = ranked.where(F.col("upto") >= rank).orderBy("__k").first()
+    return tuple(row["__k"]), row["n"], rank - (row["upto"] - row["n"])
+
+
+def sorted_keys(keys: DataFrame) -> list[tuple]:
+    """The keys of a bounded sample in Spark's order."""
+    return [tuple(r["__k"]) for r in keys.orderBy("__k").collect()]
+
+
+def take_fraction(df: DataFrame, scale: float, key: Sequence[str], task_keys: int = TASK_KEYS, sketch_keys: int = SKETCH_KEYS) -> DataFrame:
     """The first ``int(total * scale)`` rows in ``key`` order, exactly.
 
     Of rows that tie at the cut-off key any are taken, as many as are wanted. Instead of ``orderBy(key).limit(n)`` (which
-    funnels n rows through one task) the cut-off key is located and the
-    result is a plain filter ``key <= cutoff`` over the source:
-
-    1. range-partition the keys (key columns only) and write them to the
-       shared checkpoint folder, so partition ids are stable;
-    2. one tiny job: row count and min key per range partition;
-    3. driver: find the partition holding row n and the rank k inside it
-       (a loop over partition summaries, bounded by the partition count);
-    4. the k-th key of that one partition is the cut-off.
+    funnels n rows through one task) the cut-off key is found by a sketch and filtered passes (``nth_key``), and the
+    result is a plain filter ``key <= cutoff`` over the source.
     """
     if not 0.0 <= scale <= 1.0:
         raise ValueError("scale must be within [0, 1]")
@@ -92,36 +119,35 @@ def take_fraction(df: DataFrame, scale: float, key: Sequence[str],
         return df
     if n <= 0:
         return df.limit(0)
-    from tessera.session import ensure_checkpoint_dir
-
-    ensure_checkpoint_dir(df.sparkSession)  # the shared folder named by spark.checkpoint.dir
-    parts = range_partitions(df.select(*key), partitions)
-    keys = (df.select(*key)
-              .repartitionByRange(parts, *[F.col(c) for c in key])
-              .withColumn("__pid", F.spark_partition_id())
-              .checkpoint(eager=True))
-    summary = (keys.groupBy("__pid")
-                   .agg(F.count(F.lit(1)).alias("n"))
-                   .orderBy("__pid").collect())
-    # Range partitions are ordered by key, so partition ids follow key order.
-    seen = 0
-    target_pid, k = None, None
-    for row in summary:
-        if seen + row["n"] >= n:
-            target_pid, k = row["__pid"], n - seen
-            break
-        seen += row["n"]
-    ranked = (keys.filter(F.col("__pid") == target_pid)
-                  .select(_sort_key(key).alias("__k"))
-                  .withColumn("__r", F.row_number().over(Window.orderBy("__k"))))
-    cutoff = ranked.filter(F.col("__r") == k).select("__k").first()["__k"]
-    lit_key = F.struct(*[F.lit(cutoff[i]).cast(df.schema[c].dataType).alias(c)
-                         for i, c in enumerate(key)])
-    # equal keys share a range partition: how many tie at the cut-off, and how many of them are wanted
-    ties, below = ranked.agg(F.count_if(F.col("__k") == lit_key), F.count_if(F.col("__k") < lit_key)).first()
-    if k - below == ties:
+    cutoff, ties, wanted = nth_key(df, key, n, total, task_keys, sketch_keys)
+    lit_key = _key_literal(df, key, cutoff)
+    if wanted == ties:
         return df.filter(_sort_key(key) <= lit_key)
-    return df.filter(_sort_key(key) < lit_key).unionByName(df.filter(_sort_key(key) == lit_key).limit(k - below))
+    return df.filter(_sort_key(key) < lit_key).unionByName(df.filter(_sort_key(key) == lit_key).limit(wanted))
+
+
+#: Keys map to this many equally likely numbers: 15 hexadecimal digits.
+HASH_RANGE = 1 << 60
+
+
+def key_number(key: Sequence[str], seed: int = 0) -> Column:
+    """A number in [0, 2**60) that follows from the key alone (MD5 of its columns as text; NULL differs from empty)."""
+    parts = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-")) for c in key]
+    digest = F.md5(F.concat_ws("\x1f", F.lit(str(seed)), *parts).cast("binary"))
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint")
+
+
+def sample_fraction(df: DataFrame, scale: float, key: Sequence[str], seed: int = 0) -> DataFrame:
+    """About ``scale`` of the rows: those whose key's number lies below that share of its range.
+
+    A narrow filter: nothing is counted, sorted or shuffled. Whether a row is taken follows from its key alone, so it is
+    the same in a repeated task, in every partitioning and after rows are added; a larger scale takes a superset. The
+    number taken has a standard error of sqrt(n * scale * (1 - scale)) over n distinct keys; rows that share a key are
+    taken together.
+    """
+    if not 0.0 <= scale <= 1.0:
+        raise ValueError("scale must be within [0, 1]")
+    return df.filter(key_number(key, seed) < int(scale * HASH_RANGE))
 
 
 def spread(df: DataFrame, key: Sequence[str] | None = None, partitions: int | None = None) -> DataFrame:

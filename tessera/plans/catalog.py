@@ -445,6 +445,15 @@ def q_take_fraction(spark, sf_dir):
     return SH.take_fraction(_articles(spark, sf_dir), TAKE_SCALE, KEY)
 
 
+@register("sample_fraction", X.with_views("""
+SELECT src, id FROM articles
+WHERE ('0x' || substr(md5('3' || chr(31) || coalesce('=' || src, '-') || chr(31) || coalesce('=' || CAST(id AS VARCHAR), '-')), 1, 15))::BIGINT
+      < CAST(0.25 * 1152921504606846976 AS BIGINT)""", "articles"))
+def q_sample_fraction(spark, sf_dir):
+    """A quarter of the articles, approximately, by the hash of their key."""
+    return SH.sample_fraction(_articles(spark, sf_dir), 0.25, KEY, seed=3).select(*KEY)
+
+
 @register("scan_articles", X.with_views("SELECT src, id, title, text FROM articles", "articles"))
 def q_scan_articles(spark, sf_dir):
     """Articles written as RFC-4180 CSV by Spark, read back with the CSV scan."""
