@@ -154,6 +154,11 @@ def word_alternation(words: Iterable[str]) -> str:
     return emit(trie)
 
 
+def letters_of(c: Column | str) -> Column:
+    """Lower-cased ASCII letters and white space of a text, contractions split; words are its runs of letters."""
+    return _split_contractions(F.regexp_replace(F.lower(_col(c)), _NOT_LOWER_LETTER_OR_SPACE_RUN, ""))
+
+
 def clean_text(c: Column | str, stopwords: Iterable[str] | None = None) -> Column:
     """lower -> delete everything outside ASCII letters and whitespace ->
     tokenise on whitespace (with the contraction splits) -> drop stop words
@@ -169,7 +174,7 @@ def clean_text(c: Column | str, stopwords: Iterable[str] | None = None) -> Colum
     texts; a repeated character class does not.)
     """
     words = matchable_stopwords(default_stopwords() if stopwords is None else list(stopwords))
-    text = _split_contractions(F.regexp_replace(F.lower(_col(c)), _NOT_LOWER_LETTER_OR_SPACE_RUN, ""))
+    text = letters_of(c)
     if words:
         text = F.regexp_replace(text, rf"(?<![a-z])(?:{word_alternation(words)})(?![a-z])", "")
     return F.coalesce(F.trim(F.regexp_replace(text, r"[\t\n\x0B\f\r ]+", " ")), F.lit(""))
@@ -180,8 +185,7 @@ def clean_text_tokens(c: Column | str, stopwords: Iterable[str] | None = None) -
     (split -> filter -> join). Kept as the readable reference form; the
     ``filter`` lambda is interpreted per word, so it is the slower one."""
     words = matchable_stopwords(default_stopwords() if stopwords is None else list(stopwords))
-    letters = F.regexp_replace(F.lower(_col(c)), _NOT_LOWER_LETTER_OR_SPACE_RUN, "")
-    tokens = F.split(_split_contractions(letters), _WHITESPACE_RUN)
+    tokens = F.split(letters_of(c), _WHITESPACE_RUN)
     if words:
         kept = F.filter(tokens, lambda w: (w != F.lit("")) & ~w.isin(words))
     else:

@@ -445,6 +445,37 @@ def q_take_fraction(spark, sf_dir):
     return SH.take_fraction(_articles(spark, sf_dir), TAKE_SCALE, KEY)
 
 
+from tessera.operators import biglists as BL  # noqa: E402
+
+_WORDS_SQL = f"unnest(string_split({S.clean_text('text', [])}, ' '))"
+
+
+@register("clean_text_by_table", X.with_views(f"""
+, stop AS (SELECT DISTINCT w FROM (SELECT {_WORDS_SQL} AS w FROM conversations) WHERE length(w) BETWEEN 1 AND 6),
+kept AS (SELECT src, id, p, w FROM (SELECT src, id, unnest(t) AS w, generate_subscripts(t, 1) AS p
+  FROM (SELECT src, id, string_split({S.clean_text('text', [])}, ' ') AS t FROM articles)) WHERE w <> '' AND w NOT IN (SELECT w FROM stop))
+SELECT articles.src, articles.id, coalesce(string_agg(w, ' ' ORDER BY p), '') AS text_clean
+FROM articles LEFT JOIN kept ON articles.src = kept.src AND articles.id = kept.id GROUP BY 1, 2""".replace("\n, stop", ", stop", 1), "articles"))
+def q_clean_text_by_table(spark, sf_dir):
+    """Cleaned texts with a stop-word table: the short words of all conversations."""
+    from tessera.sources.tables import load_table
+    words = load_table(spark, sf_dir, "conversations").select(F.explode(F.split(T.clean_text("text", []), " ")).alias("w"))
+    stop = words.where(F.length("w").between(1, 6)).distinct()
+    return BL.clean_text_by_table(_articles(spark, sf_dir), ["text"], stop, KEY).select(*KEY, "text_clean")
+
+
+@register("keyword_hits_by_table", X.with_views(f"""
+, words AS (SELECT w FROM (SELECT {_WORDS_SQL} AS w FROM benchmark) WHERE w <> '' GROUP BY w HAVING count(*) <= 20)
+SELECT src, id, CAST(sum(CAST(contains(coalesce(lower(text), ''), w) AS INT) + CAST(contains(coalesce(lower(title), ''), w) AS INT)) AS INT) AS keyword_hits
+FROM articles CROSS JOIN words GROUP BY src, id""".replace("\n, words", ", words", 1), "articles"))
+def q_keyword_hits_by_table(spark, sf_dir):
+    """Hits of a keyword table: the words of all benchmark items that occur there at most 20 times."""
+    from tessera.sources.tables import load_table
+    words = load_table(spark, sf_dir, "benchmark").select(F.explode(F.split(T.clean_text("text", []), " ")).alias("w")).where("w <> ''")
+    rare = words.groupBy("w").agg(F.count("*").alias("n")).where("n <= 20").select("w")
+    return BL.keyword_hits_by_table(_articles(spark, sf_dir), ["text", "title"], rare, KEY).select(*KEY, "keyword_hits")
+
+
 @register("sample_fraction", X.with_views("""
 SELECT src, id FROM articles
 WHERE ('0x' || substr(md5('3' || chr(31) || coalesce('=' || src, '-') || chr(31) || coalesce('=' || CAST(id AS VARCHAR), '-')), 1, 15))::BIGINT
