@@ -22,7 +22,15 @@ from tessera.functions.lexicon import SPLIT_CONTRACTIONS, default_stopwords, mat
 # ``str.isalnum`` / ``str.isspace`` sense: letters (L*), numbers (N*),
 # separators (Z*) and the extra C0/C1 whitespace controls
 # (TAB..CR = U+0009..U+000D, U+001C..U+001F, NEL = U+0085).
-_ALNUM_OR_SPACE_RUN = r"[\p{L}\p{N}\p{Z}\x09-\x0d\x1c-\x1f\x85]+"
+# Letters and numbers that Unicode added from version 14.0 to 15.1, in code-point order: a JVM of Java 17 (Unicode 13.0)
+# has no category for them. Newer JVMs count them already, so the class is the same there.
+_NEWER_LETTERS_AND_NUMBERS = (
+    "870-887 889-88E 8B5 8C8-8C9 C5D CDD 170D 171F 1B4C 2C2F 2C5F 9FFD-9FFF A7C0-A7C1 A7D0-A7D1 A7D3 A7D5-A7D9 A7F2-A7F4 "
+    "10570-1057A 1057C-1058A 1058C-10592 10594-10595 10597-105A1 105A3-105B1 105B3-105B9 105BB-105BC 10780-10785 10787-107B0 "
+    "107B2-107BA 10F70-10F81 11071-11072 11075 1123F-11240 11740-11746 11AB0-11ABF 11F02 11F04-11F10 11F12-11F33 11F50-11F59 "
+    "12F90-12FF0 1342F 13441-13446 16A70-16ABE 16AC0-16AC9 1AFF0-1AFF3 1AFF5-1AFFB 1AFFD-1AFFE 1B11F-1B122 1B132 1B155 "
+    "1D2C0-1D2D3 1DF00-1DF1E 1DF25-1DF2A 1E030-1E06D 1E290-1E2AD 1E4D0-1E4EB 1E4F0-1E4F9 1E7E0-1E7E6 1E7E8-1E7EB 1E7ED-1E7EE "
+    "1E7F0-1E7FE 2A6DE-2A6DF 2B735-2B739 2EBF0-2EE5D 31350-323AF")
 # Cleaning keeps ASCII letters and Java ``\s`` whitespace (space, TAB, LF,
 # VT, FF, CR) only. It runs on lower-cased text, where no ASCII capital is
 # left, so the class lists a-z alone; spelled like this it measured about 9x
@@ -32,6 +40,12 @@ _WHITESPACE_RUN = r"\s+"
 # ---------------------------------------------------------------------------
 
 
+def _alnum_or_space_run() -> str:
+    """The class of alphanumerics and white space. The newer ranges are asked only beyond U+0870."""
+    newer = "".join("-".join(rf"\x{{{x}}}" for x in r.split("-")) for r in _NEWER_LETTERS_AND_NUMBERS.split())
+    return rf"[\p{{L}}\p{{N}}\p{{Z}}\x09-\x0d\x1c-\x1f\x85[\x{{870}}-\x{{323AF}}&&[{newer}]]]+"
+
+
 def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -81,7 +95,7 @@ def digit_count(c: Column | str) -> Column:
 
 def special_char_count(c: Column | str) -> Column:
     """Characters that are neither Unicode alphanumeric nor whitespace; NULL -> 0."""
-    return F.coalesce(_strip_count(_col(c), _ALNUM_OR_SPACE_RUN), F.lit(0))
+    return F.coalesce(_strip_count(_col(c), _alnum_or_space_run()), F.lit(0))
 
 
 def has_url(c: Column | str) -> Column:

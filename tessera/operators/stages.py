@@ -114,22 +114,21 @@ def pivot_stages(stages: DataFrame, max_stages: int | None = None, run: str = "r
     With an explicit width a run with more stages fails the query instead of
     silently losing columns.
 
-    One aggregation (conditional ``max`` per stage slot, the same shape as a
-    ``pivot`` with a fixed value list) so totals and slots come out of a
-    single shuffle.
+    One aggregation gathers a run's stages into one array of structs, partly per task, and sorts it by the order keys,
+    so its places are the stage indexes: no window, no aggregate per output column. Every output column then takes its
+    field by place. A run holds ``max_stages`` stages at most, which bounds the array.
     """
     if max_stages is None:
         max_stages = max_stage_count(stages, run)
-    indexed = stage_metrics(stage_index(stages, run, order))
     metrics = _metric_columns()
-    idx = F.col("stage_idx")
-    slots = [F.max(F.when(idx == i, metrics[m])).alias(f"stage{i}_{m}")
-             for i in range(max_stages) for m in STAGE_METRICS]
-    wide = indexed.groupBy(run).agg(
+    stage = F.struct(*[F.col(c).alias(f"__o{k}") for k, c in enumerate(order)], *[metrics[m].alias(m) for m in STAGE_METRICS])
+    wide = stage_metrics(stages).groupBy(run).agg(
         F.count(F.lit(1)).alias("num_stages"),
         F.sum(F.coalesce(F.col("num_tasks"), F.lit(0)).cast("bigint")).alias("num_tasks"),
-        *slots,
+        F.sort_array(F.collect_list(stage)).alias("__stages"),
     )
+    slots = [F.get("__stages", i)[m].alias(f"stage{i}_{m}") for i in range(max_stages) for m in STAGE_METRICS]
+    wide = wide.select(run, "num_stages", "num_tasks", *slots)
     guard = F.when(F.col("num_stages") > max_stages,
                    F.raise_error(F.lit(f"run has more than {max_stages} stages"))) \
         .otherwise(F.col("num_stages")).cast("bigint")

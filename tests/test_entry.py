@@ -41,11 +41,6 @@ def test_query_matches_oracle(spark, duck, name):
     cols = sorted(df.columns)
     got = sorted((tuple(_canon(r[c]) for c in cols) for r in df.collect()), key=repr)
     sql = E.oracle_sql()[name]
-    if name == "pivot_stages":  # the registered oracle spells out the sf0.01 width
-        from tessera.operators.stages import max_stage_count
-        from tessera.plans.catalog import _pivot_sql
-        from tessera.sources.fixtures import stage_runs
-        sql = _pivot_sql(max_stage_count(stage_runs(spark, SF001)))
     res = duck.execute(sql)
     dcols = [d[0] for d in res.description]
     assert sorted(dcols) == cols

@@ -2,6 +2,7 @@
 
 import re
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
@@ -147,3 +148,11 @@ def test_stopword_list_equals_spark_default(spark):
     from pyspark.ml.feature import StopWordsRemover
 
     assert default_stopwords() == StopWordsRemover.loadDefaultStopWords("english")
+
+
+def test_special_characters_over_all_code_points(spark):
+    """Every code point but surrogates and NUL: special unless Python counts it as alphanumeric or white space."""
+    points = [c for c in range(1, 0x110000) if not 0xD800 <= c <= 0xDFFF]
+    df = spark.createDataFrame(pa.table({"id": points, "c": [chr(c) for c in points]})).repartition(4)
+    got = {r.id for r in df.where(T.special_char_count("c") == 1).select("id").collect()}
+    assert got == {c for c in points if not (chr(c).isalnum() or chr(c).isspace())}
