@@ -116,7 +116,7 @@ def pivot_stages(stages: DataFrame, max_stages: int | None = None, run: str = "r
 
     One aggregation gathers a run's stages into one array of structs, partly per task, and sorts it by the order keys,
     so its places are the stage indexes: no window, no aggregate per output column. Every output column then takes its
-    field by place. A run holds ``max_stages`` stages at most, which bounds the array.
+    field by place; stages with equal order keys follow their metrics. A run holds ``max_stages`` stages at most, which bounds the array.
     """
     if max_stages is None:
         max_stages = max_stage_count(stages, run)
