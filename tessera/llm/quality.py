@@ -28,8 +28,6 @@ STOP_WORDS = (
     "der die das und ist von zu den dem mit ein eine nicht auf im sich des auch es an werden aus "
     "el los las del y un una que en por con para se su no es al lo como "
 ).split()
-#: As the SQL of this operator spells them.
-STOP_FORMS = [*STOP_WORDS, *(w.capitalize() for w in STOP_WORDS)]
 #: The languages of the list.
 STOP_LANGS = ("en", "fr", "de", "es")
 

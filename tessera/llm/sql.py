@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm.quality import STOP_FORMS
+from tessera.llm.quality import STOP_LANGS, STOP_WORDS
 
 _SPACE = r"[\x20\x09-\x0D]"
 
@@ -48,8 +48,8 @@ FROM fits
 """
 
 OP3 = rf"""
-WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS text FROM documents),
-w AS (SELECT k, doc_id, text, list_filter(regexp_split_to_array(text, '{_SPACE}+'), lambda x: x <> '') AS w FROM d),
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS text, lang FROM documents),
+w AS (SELECT k, doc_id, text, lang, list_filter(regexp_split_to_array(text, '{_SPACE}+'), lambda x: x <> '') AS w FROM d),
 grams AS (
   SELECT k, i, w[i] || chr(32) || w[i + 1] || chr(32) || w[i + 2] AS g
   FROM (SELECT k, w, unnest(generate_series(1, len(w) - 2)) AS i FROM w)),
@@ -60,15 +60,15 @@ lines AS (
   SELECT k, count(*) AS n_lines, count(*) - count(DISTINCT l) AS n_dup
   FROM (SELECT k, unnest(string_split(text, chr(10))) AS l FROM d) WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY 1),
 c AS (
-  SELECT doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(text, '{_SPACE}+', '', 'g'))::BIGINT AS word_chars,
+  SELECT doc_id, coalesce(regexp_extract(lower(lang), '^[a-z]+') IN ({", ".join(f"'{x}'" for x in STOP_LANGS)}), false) AS covers_lang, len(w)::BIGINT AS n_words, length(regexp_replace(text, '{_SPACE}+', '', 'g'))::BIGINT AS word_chars,
     (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
     coalesce(n_dup, 0)::BIGINT AS n_dup_lines, coalesce(covered.n, 0)::BIGINT AS n_repeat_words,
-    coalesce(n_lines, 0) AS n_lines, len(list_filter(w, lambda x: x IN ({", ".join(f"'{x}'" for x in STOP_FORMS)}))) AS n_stop
+    coalesce(n_lines, 0) AS n_lines, len(list_filter(w, lambda x: lower(x) IN ({", ".join(f"'{x}'" for x in STOP_WORDS)}))) AS n_stop
   FROM w LEFT JOIN covered USING (k) LEFT JOIN lines USING (k)),
 j AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND word_chars BETWEEN 2.0 * n_words AND 12.0 * n_words AND n_symbols <= 0.25 * n_words
-  AND n_dup_lines <= 0.5 * n_lines AND n_stop >= 0.02 * n_words AS kept
+  AND n_dup_lines <= 0.5 * n_lines AND (NOT covers_lang OR n_stop >= 0.02 * n_words) AS kept
 FROM j
 """
 
