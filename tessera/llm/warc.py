@@ -52,13 +52,24 @@ def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 
 
-def with_roles(pages: DataFrame, min_bytes: int = 1000) -> DataFrame:
-    """(page_id, url, payload, digest, top, revisit): ``top`` is the page that a revisit refers to."""
+def with_roles(pages: DataFrame, min_bytes: int = 1000, hot_share: int = 1000) -> DataFrame:
+    """(page_id, url, payload, digest, top, revisit): ``top`` is the page that a revisit refers to.
+
+    Payloads are equal if their SHA-256 and size are. Groups of at least one row in ``hot_share`` number ``hot_share`` at
+    most and are broadcast; the payloads of the others travel once, rows that can have no equal by a key of their own.
+    """
     rows = (pages.select("page_id", "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
-            .withColumn("digest", F.sha1("payload")).withColumn("size", F.octet_length("payload")))
-    groups = (rows.where(F.col("size") >= min_bytes).groupBy("digest", "size")
-              .agg(F.max("page_id").alias("top"), F.count("*").alias("n")).where("n > 1").drop("n"))
-    return (rows.join(groups, ["digest", "size"], "left")
+            .withColumn("digest", F.sha1("payload")).withColumn("size", F.octet_length("payload"))
+            .withColumn("same", F.when(F.col("size") >= min_bytes, F.sha2("payload", 256))))
+    groups = written(rows.where("same is not null").groupBy("same", "size").agg(F.max("page_id").alias("top"), F.count("*").alias("n"))
+                     .where("n > 1"), "warc-groups")
+    is_hot = F.col("n") * hot_share >= pages.count()
+    hot = groups.where(is_hot).select("same", "size", F.col("top").alias("hot_top"), F.lit(True).alias("hot"))
+    rest = groups.where(~is_hot).select(F.col("same").alias("meet"), "size", F.col("top").alias("own_top"))
+    alone = F.col("same").isNull() | F.col("hot").isNotNull()
+    return (rows.join(F.broadcast(hot), ["same", "size"], "left")
+            .withColumn("meet", F.when(alone, F.concat(F.lit("-"), F.xxhash64("page_id", "url").cast("string"))).otherwise(F.col("same")))
+            .join(rest, ["meet", "size"], "left").withColumn("top", F.coalesce("hot_top", "own_top"))
             .withColumn("revisit", F.col("top").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("top"))))
 
 
@@ -209,8 +220,15 @@ def record_ranges(manifest: DataFrame, chunk_bytes: int = 4 << 20) -> DataFrame:
     return manifest.select("path").mapInArrow(locate, CHUNK)
 
 
-def read_packages(manifest: DataFrame) -> DataFrame:
-    """Every record of the packages in ``manifest``; the ranges are dealt out again before they are read."""
+def read_packages(manifest: DataFrame, chunk_bytes: int = 4 << 20, task_bytes: int = 64 << 20) -> DataFrame:
+    """Every record of the packages in ``manifest``.
+
+    The ranges are dealt out again before they are read, to as many tasks as the manifest's bytes ask for (a task reads
+    about ``task_bytes``, one range at a time), and to every core where there are ranges enough.
+    """
+    size = manifest.agg(F.sum("bytes")).first()[0] or 0
+    cores = manifest.sparkSession.sparkContext.defaultParallelism
+    tasks = max(1, -(-size // task_bytes), min(cores, -(-size // chunk_bytes)))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -222,9 +240,9 @@ def read_packages(manifest: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_pylist(
                     [parse_record(data[s - c["lo"]:s - c["lo"] + n]) for s, n in zip(c["starts"], c["lengths"])], RECORD_ARROW)
 
-    return record_ranges(manifest).repartition("path", "lo").mapInArrow(read, RECORD)
+    return record_ranges(manifest, chunk_bytes).repartition(tasks, "path", "lo").mapInArrow(read, RECORD)
 
 
-def round_trip(pages: DataFrame, min_bytes: int = 1000) -> DataFrame:
+def round_trip(pages: DataFrame, min_bytes: int = 1000, package_bytes: int = 32 << 20, chunk_bytes: int = 4 << 20) -> DataFrame:
     """Write ``pages`` as packages into the shared folder and read every record back."""
-    return read_packages(write_packages(pages, shared_path(pages.sparkSession, "warc"), min_bytes))
+    return read_packages(write_packages(pages, shared_path(pages.sparkSession, "warc"), min_bytes, package_bytes), chunk_bytes)
