@@ -136,8 +136,12 @@ def match_at(words: list[bytes], phrase: list[bytes], start: int, slop: int) ->
     return None
 
 
-def find_hits(docs: DataFrame, candidates: DataFrame, slop: int = 0) -> DataFrame:
-    """Every row of ``docs`` (doc_id, text) with key, n_words, n_hit (words inside matches) and the matched phrases."""
+def find_hits(docs: DataFrame, candidates: DataFrame, hot: DataFrame, slop: int = 0) -> DataFrame:
+    """Every row of ``docs`` (doc_id, text) with key, n_words, n_hit (words inside matches) and the matched phrases.
+
+    Rows meet their candidates by the text's key; the rows of a frequent text (``hot``) are dealt over several tasks,
+    each with a copy of that text's candidates.
+    """
     places = candidates.groupBy("key").agg(F.collect_set(F.struct("start", "phrase")).alias("places"))
     schema = pa.schema([("doc_id", pa.int64()), ("key", pa.binary()), ("n_words", pa.int64()), ("n_hit", pa.int64()),
                         ("phrases", pa.list_(pa.string()))])
@@ -155,9 +159,35 @@ def find_hits(docs: DataFrame, candidates: DataFrame, slop: int = 0) -> DataFram
                 out.append((doc, key, len(words), len(hit), sorted(phrases)))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 5, schema.types)], schema=schema)
 
-    keyed = docs.select(F.col("doc_id").cast("long"), F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("key"), "text")
-    return keyed.join(places, "key", "left").select("doc_id", "key", "text", "places").mapInArrow(
-        check, "doc_id long, key binary, n_words long, n_hit long, phrases array<string>")
+    rows = dealt(keyed(docs), hot).join(copied(places, hot), ["key", "part"], "left")
+    return rows.select("doc_id", "key", "text", "places").mapInArrow(check, "doc_id long, key binary, n_words long, n_hit long, phrases array<string>")
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, key, text): the key is the text's digest, so copies of a text share their candidates."""
+    return docs.select(F.col("doc_id").cast("long"), F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("key"), "text")
+
+
+def frequent_texts(rows: DataFrame, hot_share: int = 1000) -> DataFrame:
+    """(key, parts) of the texts that more than one row in ``hot_share`` repeats, fewer than ``hot_share`` by that.
+
+    ``parts`` is the number of tasks that their rows are dealt to, each about one ``hot_share``-th of all rows.
+    """
+    n = max(rows.count(), 1)
+    return (rows.groupBy("key").count().where(F.col("count") > F.greatest(F.lit(1), F.lit(n // hot_share)))
+            .select("key", F.ceil(F.col("count") * hot_share / n).alias("parts")))
+
+
+def dealt(rows: DataFrame, hot: DataFrame) -> DataFrame:
+    """``rows`` with ``part``: rows of a frequent text are dealt over its parts by doc_id."""
+    part = F.pmod(F.xxhash64("doc_id"), F.coalesce("parts", F.lit(1).cast("long")))
+    return rows.join(F.broadcast(hot), "key", "left").withColumn("part", part).drop("parts")
+
+
+def copied(by_key: DataFrame, hot: DataFrame) -> DataFrame:
+    """``by_key`` (a row per text) with a copy for every ``part``."""
+    parts = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1).cast("long")) - 1))
+    return by_key.join(F.broadcast(hot), "key", "left").withColumn("part", parts).drop("parts")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, slop: int = 0, block_bytes: int = 32 << 20) -> DataFrame:
@@ -174,8 +204,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, slop:
         rare = frozenset(r[0].encode() for r in places.select("term").distinct().collect())
         one = candidate_starts(places, written(postings(texts, rare), "postings"), slop)
         found = one if found is None else found.unionByName(one)
-    hits = written(find_hits(docs, found, slop), "hits")
+    hot = written(frequent_texts(keyed(docs)), "frequent-texts")  # fewer than 1,000 rows, so it may be broadcast
+    hits = written(find_hits(docs, found, hot, slop), "hits")
     items = (hits.select("key", F.explode("phrases").alias("phrase")).distinct().join(phrases, "phrase")
              .groupBy("key").agg(F.array_sort(F.collect_set("item")).alias("items")))
-    return (hits.select("doc_id", "key", "n_words", "n_hit").join(items, "key", "left")
+    return (dealt(hits.select("doc_id", "key", "n_words", "n_hit"), hot).join(copied(items, hot), ["key", "part"], "left")
             .select("doc_id", "key", "n_words", "n_hit", F.coalesce("items", F.array().cast("array<string>")).alias("items")))

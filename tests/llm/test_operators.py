@@ -9,11 +9,12 @@ import struct
 import zlib
 from collections import Counter
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF001
-from tessera.llm import boosting, catalog, decontaminate, html_text, minmax, packing, pii, quality, substring_dedup, suffix_dedup, url_filter, warc
+from tessera.llm import boosting, catalog, decontaminate, html_text, minmax, packing, pii, quality, sql, substring_dedup, suffix_dedup, url_filter, warc
 from tessera.llm.common import ship_package
 
 DOCS = "doc_id long, text string, lang string, key string, n_words string"
@@ -170,6 +171,20 @@ def test_stop_words_in_any_case_and_only_of_covered_languages(spark):
     assert {r.doc_id for r in quality.keep_quality(docs.drop("lang")).collect()} == {1, 2, 7}
 
 
+def test_quality_sql_judges_as_the_query_does(spark, tmp_path):
+    plain = " ".join(f"alpha{k} beta{k}" for k in range(40))
+    texts = [plain, plain + " the of and", (plain + " the of and").upper(), plain + " Les oder DES", "a b", "", None, "the of and " * 40,
+             (plain + " the of\n") * 3, plain + " #$%" * 30 + " the und el"]
+    rows = [(10 * i + j, t, lang) for i, t in enumerate(texts) for j, lang in enumerate(["en", "pl", None, "DE-at", "", "Fr", "zh"])]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    query = catalog.QUERIES["op3_quality_rules"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = con.execute(f"SELECT {', '.join(query.columns)} FROM ({sql.SQL['op3_quality_rules']})").fetchall()
+    assert sorted(map(tuple, query.collect())) == sorted(want)
+    assert len({r[-1] for r in want}) == 2
+
+
 # -- decontamination
 
 def test_decontamination_against_brute_force(spark, docs, empty):
@@ -191,6 +206,18 @@ def test_decontamination_against_brute_force(spark, docs, empty):
         assert (got[d].n_words, got[d].n_hit, got[d]["items"]) == (len(w), len(hit), sorted(found)), d
     assert decontaminate.decontaminate(empty, bench).count() == 0
     assert {r.n_hit for r in decontaminate.decontaminate(docs, bench.limit(0)).collect()} == {0}
+    assert decontaminate.decontaminate(empty, bench.limit(0)).count() == 0
+
+
+def test_copies_of_a_text_are_dealt_over_tasks_with_their_matches(spark):
+    passage = " ".join(f"b{k}" for k in range(12))
+    rows = [(k, f"intro {passage} end") for k in range(300)] + [(300 + k, "" if k % 2 else None) for k in range(200)] + [(k, f"own {k} the the") for k in range(500, 900)]
+    docs = frame(spark, rows)
+    hot = {bytes(r.key): r.parts for r in decontaminate.frequent_texts(docs.selectExpr("unhex(md5(coalesce(text, ''))) AS key"), 100).collect()}
+    assert hot == {hashlib.md5(rows[0][1].encode()).digest(): 34, hashlib.md5(b"").digest(): 23}
+    bench = spark.createDataFrame([(1, passage), (2, "the")], "item_id long, text string")  # an item of one common word
+    got = Counter((r.doc_id, r.n_words, r.n_hit, tuple(r["items"])) for r in decontaminate.decontaminate(docs, bench).collect())
+    assert got == Counter((d, len((t or "").split()), 12 if d < 300 else 2 if d >= 500 else 0, ("1",) if d < 300 else ("2",) if d >= 500 else ()) for d, t in rows)
 
 
 def test_proximity_match(spark):
@@ -246,6 +273,32 @@ def test_warc_round_trip(spark):
     assert warc.round_trip(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("hot_share", [1, 3, 1000])
+def test_warc_roles_of_frequent_and_rare_payloads(spark, hot_share):
+    rng = random.Random(4)
+    pages = [(k, "u", rng.choice(["a" * 1200, "é" * 600, "b" * 999, "", None, f"page {k} " * 150, f"page {k % 5} " * 150])) for k in range(120)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(4)
+    top = {}
+    for p, _, h in pages:
+        if len((h or "").encode()) >= 1000:
+            top[h] = max(top.get(h, p), p)
+    out = warc.with_roles(df, hot_share=hot_share).collect()
+    assert Counter((r.page_id, r.top if r.revisit else None) for r in out) == Counter(
+        (p, top[h] if h in top and top[h] != p else None) for p, _, h in pages)
+
+
+def test_warc_small_packages_are_read_in_several_tasks(spark, tmp_path):
+    rng = random.Random(5)
+    pages = [(k, f"u{k}", "".join(rng.choice("abcdefghij") for _ in range(rng.randint(0, 4000)))) for k in range(200)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(2)
+    manifest = warc.write_packages(df, str(tmp_path / "out"), package_bytes=20_000)
+    assert manifest.count() > 5 and all(r.records > 1 for r in manifest.collect())
+    assert warc.record_ranges(manifest, 4000).count() > 2 * manifest.count()
+    back = warc.read_packages(manifest, chunk_bytes=4000, task_bytes=30_000)
+    assert back.rdd.getNumPartitions() > 4
+    assert {(r.page_id, r.payload.decode()) for r in back.collect()} == {(p, h) for p, _, h in pages} and back.count() == 200
+
+
 def test_zip64_directory(tmp_path):
     body, name = b"hello", b"archive/data.warc.gz"
     local = b"PK\x03\x04" + struct.pack("<HHHHHIIIHH", 45, 0, 0, 0, 0, zlib.crc32(body), 5, 5, len(name), 4) + name + b"\0\0\0\0" + body
