@@ -729,13 +729,9 @@ def q_measured_run(spark, sf_dir):
 def q_streaming_features(spark, sf_dir):
     """The feature pipeline as a Structured Streaming job (file source ->
     file sink with checkpoint, availableNow trigger), read back."""
-    from tessera.sources.tables import load_table
-    from tessera.streaming.features import read_stream, start_feature_stream
+    from tessera.streaming.features import start_feature_stream, stream_table
 
-    docs_schema = load_table(spark, sf_dir, "documents").schema
-    pages_schema = load_table(spark, sf_dir, "pages").schema
-    stream = X.articles_from(read_stream(spark, sf_dir, docs_schema, glob="documents.parquet"),
-                             read_stream(spark, sf_dir, pages_schema, glob="pages.parquet"))
+    stream = X.articles_from(stream_table(spark, sf_dir, "documents"), stream_table(spark, sf_dir, "pages"))
     sink, ckpt = shared_path(spark, "stream-sink"), shared_path(spark, "stream-ckpt")
     q = start_feature_stream(stream, sink, ckpt, keywords=X.PROBE_KEYWORDS)
     q.awaitTermination()

@@ -9,12 +9,14 @@ a restarted query resumes from its offsets after executor or driver loss).
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from tessera.plans.features import extract_features
+from tessera.sources.tables import load_table, table_path
 
 
 def read_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet",
@@ -29,6 +31,15 @@ def read_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet",
     return reader.load(path)
 
 
+def stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """Stream over a test table, be it one Parquet file or a folder of them.
+
+    The file source takes a plain path for a folder; a pattern (here one that
+    only the table's own name fits) may name either."""
+    folder, file = os.path.split(table_path(sf_dir, name))
+    return read_stream(spark, os.path.join(folder, f"{{{file}}}"), load_table(spark, sf_dir, name).schema)
+
+
 def start_feature_stream(stream: DataFrame, sink_path: str, checkpoint: str,
                          keywords: Iterable[str] | None = None,
                          stopwords: Iterable[str] | None = None,
