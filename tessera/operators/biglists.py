@@ -6,6 +6,7 @@ Both lists are tables (one string column). Nothing in the plans grows with them
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -14,7 +15,7 @@ from tessera.session import written
 
 #: Bits a word, hash functions, and the largest filter (16 MB); beyond it false positives rise, results stay exact.
 BITS_A_WORD, HASHES, MOST_BITS = 12, 4, 1 << 27
-#: Words (false positives of the filter) that may be broadcast.
+#: Words that may be broadcast.
 BROADCAST_WORDS = 100_000
 #: Longest pieces of text that the keyword index looks up.
 GRAM = 4
@@ -47,11 +48,23 @@ def _maybe(word: Column, bits: Column, n: int) -> Column:
     return test
 
 
+def keys_repeat(df: DataFrame, key: Sequence[str]) -> bool:
+    """Whether two rows of ``df`` have the same ``key`` without NULL."""
+    known = df.select(*key).dropna()
+    return bool(known.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").limit(1).count())
+
+
+def _named(key: Sequence[str]) -> Column:
+    """Whether no column of ``key`` is NULL."""
+    return reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in key])
+
+
 def clean_text_by_table(df: DataFrame, columns: Sequence[str], stopwords: DataFrame, key: Sequence[str], suffix: str = "_clean") -> DataFrame:
     """``df`` with a cleaned copy of each of ``columns``: the same text as ``functions.text.clean_text`` with a list of any size.
 
     ``stopwords`` has one string column; ``key`` names columns of ``df`` that are unique and not NULL.
-    Tokens are exploded with their positions and tested against a Bloom filter of the list. What it cannot hold stays. What
+    A list of at most BROADCAST_WORDS words is broadcast, and each row looks up its own tokens: no text is shuffled.
+    For a longer one, and where keys do repeat (their rows share their tokens), tokens are exploded with their positions and tested against a Bloom filter of the list. What it cannot hold stays. What
     it may hold is a stop word or one of few others: the distinct candidates of the whole table (combined per task), less the
     list, by a left-anti join. Candidates that equal one of those stay as well; where they are few they are broadcast
     (counted first), else frequent candidates are dealt over several tasks. The tokens that stay are regrouped by row in their
@@ -60,9 +73,14 @@ def clean_text_by_table(df: DataFrame, columns: Sequence[str], stopwords: DataFr
     word = stopwords.columns[0]
     words = written(stopwords.select(F.col(word).alias("word")).where("word is not null and word <> ''").distinct(), "stop-words")
     tokens = lambda c: F.array_remove(F.split(T.letters_of(F.col(c)), r"\s+"), "")
+    n = words.count()
+    if n <= BROADCAST_WORDS and not keys_repeat(df, key):
+        listed = df.sparkSession.sparkContext.broadcast(frozenset(r.word for r in words.collect()))
+        left = F.udf(lambda text: text and " ".join([w for w in text.split() if w not in listed.value]), "string", useArrow=True)
+        cleaned = {c + suffix: left(T.letters_of(F.when(_named(key), F.col(c)))) for c in columns}
+        return df.withColumns({c: F.coalesce(x, F.lit("")) for c, x in cleaned.items()}).select(*df.columns, *cleaned)
     places = df.select(*key, F.explode(F.array(*[F.struct(F.lit(k).alias("k"), tokens(c).alias("w")) for k, c in enumerate(columns)])).alias("t"))
     places = places.select(*key, F.col("t.k").alias("__column"), F.posexplode("t.w").alias("__pos", "__word"))
-    n = words.count()
     if n:
         row, size = bloom_filter(words, "word", n)
         maybe = _maybe(F.col("__word"), written(row, "bloom").scalar(), size)

@@ -82,3 +82,21 @@ def test_keywords_on_odd_rows(spark):
     for words in (["abc", "abcd", "needle", "aa", "aaaaa", "😀", "😀 s"], ["", "b"], [], ["nothing here"]):
         got = B.keyword_hits_by_table(df, ["text"], spark.createDataFrame([(w,) for w in words], "w string"), ["id"])
         assert rows_of(got.select("id", "keyword_hits")) == [(k, sum(w in (t or "").lower() for w in words)) for k, t in enumerate(texts)]
+
+
+def test_texts_are_not_exploded_for_a_list_that_fits_a_task(spark, articles, monkeypatch):
+    stop = corpus_words(articles)[::2]
+    table = spark.createDataFrame([(w,) for w in stop], "w string")
+    got = B.clean_text_by_table(articles, ["text"], table, ["src", "id"])
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Exchange" not in plan
+    monkeypatch.setattr(B, "BROADCAST_WORDS", 0)  # the list by Bloom filter and joins
+    assert rows_of(got) == rows_of(B.clean_text_by_table(articles, ["text"], table, ["src", "id"]))
+
+
+def test_rows_of_one_key_share_their_tokens_and_null_keys_have_none(spark):
+    df = spark.createDataFrame([(1, "b the a"), (1, "c d"), (None, "x"), (2, "the y")], "id long, text string")
+    got = B.clean_text_by_table(df, ["text"], spark.createDataFrame([("the",)], "w string"), ["id"])
+    assert rows_of(got.select("id", "text_clean").distinct()) == [(1, "b c d a"), (2, "y"), (None, "")]
+    unique = B.clean_text_by_table(df.where("id = 2 or id is null"), ["text"], spark.createDataFrame([("the",)], "w string"), ["id"])
+    assert rows_of(unique.select("id", "text_clean")) == [(2, "y"), (None, "")]
