@@ -5,7 +5,8 @@ Both lists are tables (one string column). Nothing in the plans grows with them
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -19,6 +20,8 @@ BITS_A_WORD, HASHES, MOST_BITS = 12, 4, 1 << 27
 BROADCAST_WORDS = 100_000
 #: Longest pieces of text that the keyword index looks up.
 GRAM = 4
+#: Words of a text, whose matches a task keeps, and the most words and letters that it keeps them for.
+WORD, KEPT_WORDS, KEPT_LENGTH = "[0-9A-Za-z\x80-\U0010ffff]+", 200_000, 40
 #: A frequent gram is dealt over so many tasks.
 SALTS = 16
 
@@ -110,12 +113,63 @@ def _grams(text: Column, size: int) -> Column:
     return F.array_distinct(F.array_compact(grams))
 
 
+def keyword_counter(listed: dict[str, int]) -> Callable[[str], int]:
+    """A function: the sum of the numbers of ``listed`` keywords that a text holds.
+
+    A keyword is looked for by its longest word, first within the distinct words of the text. A word's substrings are looked up
+    by their first GRAM characters, then by the lengths that the list has for these; what was found in a word is kept for the next text.
+    """
+    word, exact, longer, wordless, short, starts = re.compile(WORD), {}, {}, [], set(), {}
+    for keyword, times in listed.items():
+        anchor = max(word.findall(keyword), key=len, default="")
+        if anchor == keyword:
+            exact[anchor] = times
+        elif anchor:
+            longer.setdefault(anchor, []).append((keyword, times))
+        else:
+            wordless.append((keyword, times))
+    anchors = exact.keys() | longer.keys()
+    for anchor in anchors:
+        if len(anchor) < GRAM:
+            short.add(len(anchor))
+        else:
+            starts.setdefault(anchor[:GRAM], set()).add(len(anchor))
+    gram, most, longest, seen = GRAM, KEPT_WORDS, KEPT_LENGTH, {}
+
+    def within(w: str) -> list[str]:
+        found = {w[i:i + n] for n in short for i in range(len(w) - n + 1) if w[i:i + n] in anchors}
+        for i in range(len(w) - gram + 1):
+            for n in starts.get(w[i:i + gram], ()):
+                if w[i:i + n] in anchors:
+                    found.add(w[i:i + n])
+        return [*found]
+
+    def count(text: str) -> int:
+        found = set()
+        for w in set(word.findall(text)):
+            held = seen.get(w)
+            if held is None:
+                held = within(w)
+                if len(w) <= longest:
+                    if len(seen) >= most:
+                        seen.clear()
+                    seen[w] = held
+            found.update(held)
+        hits = sum(times for keyword, times in wordless if keyword in text)
+        for anchor in found:
+            hits += exact.get(anchor, 0) + sum(times for keyword, times in longer.get(anchor, ()) if keyword in text)
+        return hits
+
+    return count
+
+
 def keyword_hits_by_table(df: DataFrame, columns: Sequence[str], keywords: DataFrame, key: Sequence[str], name: str = "keyword_hits") -> DataFrame:
     """``df`` with ``functions.text.keyword_hits`` over a list of any size: for each keyword and each of ``columns``, +1 if the
     keyword is a substring of the lower-cased column; NULL counts as "".
 
     ``keywords`` has one string column, and repeated keywords count again; ``key`` names columns of ``df`` that are unique and not NULL.
-    An inverted index posts every keyword under one of its grams of four characters (a shorter keyword under itself): the
+    A list of at most BROADCAST_WORDS keywords is broadcast, and each row is scanned where it lies (``keyword_counter``).
+    For a longer one, and where keys do repeat (a keyword in k rows of one key counts k times in each), an inverted index posts every keyword under one of its grams of four characters (a shorter keyword under itself): the
     one that the fewest texts hold. Texts meet it in a join on their distinct grams, frequent ones dealt over several
     tasks, and the candidates of a row are checked with ``contains``. No expression grows with the list.
     """
@@ -128,6 +182,16 @@ def keyword_hits_by_table(df: DataFrame, columns: Sequence[str], keywords: DataF
     texts = df.select(*key, F.posexplode(F.array(*lowered)).alias("__column", "__text"))
     if not sizes:
         return df.withColumn(name, F.lit(always).cast("int"))
+    if words.count() <= BROADCAST_WORDS and not keys_repeat(df, key):
+        listed = df.sparkSession.sparkContext.broadcast({r.keyword: r.times for r in words.collect()})
+        kept: dict = {}  # one counter per task
+
+        def hits(*texts: str | None) -> int:
+            count = kept.get("count") or kept.setdefault("count", keyword_counter(listed.value))
+            return sum(count(t) for t in texts if t)
+
+        texts = [F.lower(F.when(_named(key), F.col(c))) for c in columns]
+        return df.withColumn(name, (F.udf(hits, "long", useArrow=True)(*texts) + F.lit(always)).cast("int")).select(*df.columns, name)
     grams = texts.select(*key, "__column", F.explode(F.concat(*[_grams(F.col("__text"), n) for n in sizes])).alias("gram"))
     of_words = words.select("keyword", "times", F.explode(F.concat(*[
         F.when(F.col("length") == n, F.array("keyword")).otherwise(F.array().cast("array<string>")) for n in range(1, GRAM)],

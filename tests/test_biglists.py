@@ -100,3 +100,21 @@ def test_rows_of_one_key_share_their_tokens_and_null_keys_have_none(spark):
     assert rows_of(got.select("id", "text_clean").distinct()) == [(1, "b c d a"), (2, "y"), (None, "")]
     unique = B.clean_text_by_table(df.where("id = 2 or id is null"), ["text"], spark.createDataFrame([("the",)], "w string"), ["id"])
     assert rows_of(unique.select("id", "text_clean")) == [(2, "y"), (None, "")]
+
+
+def test_keywords_are_counted_where_the_texts_lie(spark, articles, monkeypatch):
+    listed = [("a",), ("the",), ("tion",), ("tions",), (". ",), ("://",), ("of the",), ("e, a",), ("é",), ("the",), ("ABC",), ("",)]
+    words = spark.createDataFrame([*listed, *[(w,) for w in corpus_words(articles)[::40]]], "w string")
+    got = B.keyword_hits_by_table(articles, ["text", "title"], words, ["src", "id"])
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Exchange" not in plan
+    monkeypatch.setattr(B, "BROADCAST_WORDS", 0)  # the list by its gram index
+    assert rows_of(got) == rows_of(B.keyword_hits_by_table(articles, ["text", "title"], words, ["src", "id"]))
+
+
+def test_kept_words_are_given_up_and_found_again(monkeypatch):
+    monkeypatch.setattr(B, "KEPT_WORDS", 3)
+    listed = {"ab": 1, "bcde": 2, "x-ab": 4, "--": 8, "bcdefg": 16}
+    count = B.keyword_counter(listed)
+    for text in ["ab abcde x-ab", "b c d e -- abcdefgh", "", "q w e r t y ab", "ab" * 1000 + "-bcdefg"] * 2:
+        assert count(text) == sum(n for k, n in listed.items() if k in text)
