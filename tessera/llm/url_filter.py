@@ -7,8 +7,9 @@ as it is when other pages are labelled, at any size of the table. A rule with a
 is redundant and dropped. Each rule is posted in an inverted index under its rarest token only, so a
 URL meets a rule once, and the rest of the rule is checked against the URL's token array.
 
-A page brings at most ``most_tokens`` tokens to the mining, those in most bad pages (ties: the smallest
-token), since a page of t tokens holds 2 ** t combinations; rules match all tokens of a URL.
+A page of t tokens holds 2 ** t combinations, which FP-growth would list. Where a bad page has more than ``most_tokens``
+tokens that ``min_bad`` bad pages share, all rules are found level by level instead: sets that a smaller rule, or a smaller
+set of the same pages, makes redundant are never widened. Both ways find every rule; no token is left out.
 
 Labels are joined by id: ``labels.doc_id`` is taken as the ``page_id`` of the same value.
 A null URL, or one without ``://``, has an empty host and path, no tokens, and is allowed.
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
@@ -65,12 +67,42 @@ def url_tokens(url: Column, host: Column, path: Column) -> Column:
     return F.array_distinct(F.concat(tagged("h:", F.split(host, r"\.")), tagged("p:", words), tagged("q:", keys)))
 
 
-def mining_items(bad_pages: DataFrame, min_bad: int, most_tokens: int) -> DataFrame:
-    """(id, items) of bad pages (id, tokens): tokens of at least ``min_bad`` of them, the most frequent ``most_tokens`` of each page."""
+def mining_items(bad_pages: DataFrame, min_bad: int) -> DataFrame:
+    """(id, items) of bad pages (id, tokens): their tokens that at least ``min_bad`` of them hold."""
     place = bad_pages.select("id", F.explode("tokens").alias("token"))
     common = place.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= min_bad)
-    ranked = place.join(common, "token").groupBy("id").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "token"))).alias("r"))
-    return ranked.select("id", F.slice(F.col("r.token"), 1, most_tokens).alias("items"))
+    return place.join(common, "token").groupBy("id").agg(F.array_sort(F.collect_list("token")).alias("items"))
+
+
+def level_rules(transactions: DataFrame, min_bad: int, min_confidence: float) -> DataFrame:
+    """Rules (tokens, n_bad, n_all) without redundant ones, level by level, for pages of many tokens.
+
+    A set goes on to the next level while it is no rule, enough bad pages hold it, and more pages hold each smaller set
+    inside it: else it is a rule only where that smaller set is one, which makes it redundant.
+    """
+    both = [F.count_if("bad").alias("n_bad"), F.count("*").alias("n_all")]
+    held = transactions.select("id", "bad", F.explode("tokens").alias("token")).select("id", "bad", F.array("token").alias("tokens"))
+    counts = written(held.groupBy("tokens").agg(*both).where(F.col("n_bad") >= min_bad), "level-1")
+    rules, level = [], 1
+    while True:
+        confident = F.col("n_bad") >= min_confidence * F.col("n_all")
+        rules.append(counts.where(confident))
+        unsettled = counts.where(~confident).select("tokens", "n_all")
+        if unsettled.limit(2).count() < 2:
+            break
+        held = written(held.join(unsettled.select("tokens"), "tokens"), f"held-{level}")
+        # two sets of a page that differ in their last token only make one of the next level
+        left = held.select("id", "bad", F.slice("tokens", 1, level - 1).alias("head"), F.element_at("tokens", -1).alias("a"))
+        right = left.select("id", "head", F.col("a").alias("b"))
+        wider = left.join(right, ["id", "head"]).where("a < b").select("id", "bad", F.concat("head", F.array("a", "b")).alias("tokens"))
+        level += 1
+        found = written(wider.groupBy("tokens").agg(*both).where(F.col("n_bad") >= min_bad), f"found-{level}")
+        inside = found.select(F.col("tokens").alias("wide"), F.col("n_all").alias("n"), F.explode("tokens").alias("x")).select(
+            "wide", "n", F.array_remove("wide", F.col("x")).alias("tokens"))
+        fit = (inside.join(unsettled, "tokens").where(F.col("n_all") > F.col("n"))
+               .groupBy(F.col("wide").alias("tokens")).agg(F.count("*").alias("k")).where(F.col("k") == level).select("tokens"))
+        counts, held = written(found.join(fit, "tokens"), f"level-{level}"), wider
+    return reduce(DataFrame.unionByName, rules)
 
 
 def counted_rules(rules: DataFrame, transactions: DataFrame) -> DataFrame:
@@ -95,13 +127,14 @@ def mine_rules(transactions: DataFrame, min_bad: int = 3, min_confidence: float
 
     ``transactions``: one row per labelled page with ``id``, ``tokens`` and ``bad`` boolean.
     """
-    items = mining_items(transactions.where("bad"), min_bad, most_tokens).select("items")
-    n = items.count()
+    items = mining_items(transactions.where("bad"), min_bad).select("items")
+    n, most = items.agg(F.count("*"), F.max(F.size("items"))).first()
+    if (most or 0) > most_tokens:
+        return level_rules(transactions, min_bad, min_confidence)
     # half a page below the bound, so rounding the share back to a count gives the bound
     model = FPGrowth(itemsCol="items", minSupport=min(1.0, (min_bad - 0.5) / max(n, 1)), minConfidence=1.0).fit(items)
-    sets = model.freqItemsets.where(F.col("freq") >= min_bad).select(F.array_sort("items").alias("tokens"), F.col("freq").alias("n_mined"))
-    # pages that brought only part of their tokens count as well, so both numbers come from all labelled pages
-    sets = written(sets.select("tokens"), "sets")
+    sets = model.freqItemsets.where(F.col("freq") >= min_bad).select(F.array_sort("items").alias("tokens"))
+    sets = written(sets, "sets")
     n_bad = counted_rules(sets, transactions.where("bad")).withColumnRenamed("n_all", "n_bad")
     rules = written(counted_rules(n_bad, transactions).where(F.col("n_bad") >= min_confidence * F.col("n_all")), "rules")
     return without_redundant(rules, transactions)
